@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import packing, pieces, terms, tokens
+from loomtext.llm import packing, pieces, repair, terms, tokens
 from loomtext.session import one_record, parallelism, table
 
 
@@ -88,6 +88,20 @@ def p9_fill(spark, d):
     return by.agg(F.count("*").alias("containers"), F.ceil(F.sum("used") / packing.CAPACITY).alias("least"), F.max("used").alias("fullest"), F.sum("parts").alias("parts"), (F.sum("used") / (F.count("*") * packing.CAPACITY)).alias("share_used"))
 
 
+# ---- 10: encodings
+def garbled_documents(spark, d):
+    return repair.find_garbled(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id")
+
+
+def p10_found(spark, d):
+    return garbled_documents(spark, d).select(F.col("key").alias("doc_id"))
+
+
+def p10_restored(spark, d):
+    """The chain, its posterior and the text as far as it can be had."""
+    return garbled_documents(spark, d).select(F.col("key").alias("doc_id"), repair.chain_name(F.col("chain")).alias("chain"), F.round("posterior", 4).alias("posterior"), "restored")
+
+
 def queries():
     found = {k: f for k, f in globals().items() if k[:1] == "p" and k.partition("_")[0][1:].isdigit()}
     return dict(sorted(found.items(), key=lambda x: (int(x[0].partition("_")[0][1:]), x[0])))
