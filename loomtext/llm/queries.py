@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import packing, pieces, repair, terms, tokens
+from loomtext.llm import packing, pieces, repair, sentences, terms, tokens
 from loomtext.session import one_record, parallelism, table
 
 
@@ -15,6 +15,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(parallelism(spark)) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
 
 
+# ---- 1: sentences
+def p1_found(spark, d):
+    pages = one_record(table(spark, d, "corpus_pages").select(F.lit("corpus_pages").alias("origin"), F.col("doc_id").alias("doc_key"), "text"), "doc_key")
+    docs = one_record(table(spark, d, "corpus_docs").select(F.lit("corpus_docs").alias("origin"), F.col("doc_idx").alias("doc_key"), "text"), "doc_key")
+    return sentences.split(pages.unionByName(docs), ["origin", "doc_key"], "text")
+
+
+def p1_per_document(spark, d):
+    """Sentences and characters in them, per document."""
+    found = p1_found(spark, d)
+    return found.groupBy("origin", "doc_key").agg(F.count("*").alias("sentences"), F.sum(F.col("end_char") - F.col("start_char")).alias("chars"))
+
+
 # ---- 3: pieces
 def cut_tables(spark: SparkSession, d: str) -> DataFrame:
     pages = one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id")
