@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import packing, pieces, repair, sentences, terms, tokens
+from loomtext.llm import lookalikes, packing, pieces, quality, repair, sentences, terms, tokens
 from loomtext.session import one_record, parallelism, table
 
 
@@ -46,6 +46,25 @@ def p3_pieces(spark, d):
     return rows.select("origin", "item_key", "piece", "start_char", "end_char", "is_forced", "piece_text")
 
 
+# ---- 4: look-alikes
+def prints_of(spark, d):
+    reviews = table(spark, d, "reviews").filter("split_name = 'train'").select(F.lit("reviews").alias("origin"), F.col("review_id").alias("key"), F.col("content").alias("text"))
+    pages = table(spark, d, "corpus_pages").select(F.lit("corpus_pages").alias("origin"), F.col("doc_id").alias("key"), "text")
+    return lookalikes.fingerprints(spread(reviews.unionByName(pages)), ["origin", "key"], "text")
+
+
+def p4_found(spark, d):
+    return lookalikes.look_alike_pairs(prints_of(spark, d), "key", "origin")
+
+
+def p4_forms(spark, d):
+    """The one form of every train review and page."""
+    reviews = one_record(table(spark, d, "reviews").filter("split_name = 'train'").select("review_id", "content"), "review_id")
+    pages = one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id")
+    texts = reviews.select(F.lit("reviews").alias("origin"), F.col("review_id").alias("key"), F.col("content").alias("text")).unionByName(pages.select(F.lit("corpus_pages").alias("origin"), F.col("doc_id").alias("key"), "text"))
+    return lookalikes.one_form(texts, "text", "form").select("origin", "key", "form")
+
+
 # ---- 6: terms
 def page_counts(spark, d):
     return terms.merge_counts(None, terms.term_deltas(terms.signed_changes(None, table(spark, d, "corpus_pages"), "doc_id", "text")))
@@ -71,6 +90,26 @@ def p6_vocab_terms(spark, d):
     return vocab_counts(spark, d).select("term", "occurrences", F.col("records").alias("batches"))
 
 
+# ---- 7: quality
+def rated_pages(spark, d):
+    common: dict[str, list[str]] = {}
+    for row in table(spark, d, "common_words").select("lang", "word").distinct().collect():  # a fixed list
+        if row["lang"] and row["word"]:
+            common.setdefault(row["lang"], []).append(row["word"])
+    return quality.rate(one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id"), "doc_id", "text", common)
+
+
+def p7_found(spark, d):
+    return rated_pages(spark, d).filter("is_junk").select(F.col("key").cast("bigint").alias("doc_id"))
+
+
+def p7_statistics(spark, d):
+    """Every page's statistics, distance, and the contribution of each statistic to it."""
+    rated = rated_pages(spark, d)
+    each = [F.round(F.col(c)[i], 6).alias(f"{prefix}{name}") for i, name in enumerate(quality.NAMES) for c, prefix in (("stats", ""), ("contributions", "by_"))]
+    return rated.select(F.col("key").cast("bigint").alias("doc_id"), "lang", F.round("distance", 6).alias("distance"), *each, "is_junk")
+
+
 # ---- 8: tokens
 def p8_ids(spark, d):
     return tokens.encode(spread(table(spark, d, "documents").select("doc_id", "text")))
