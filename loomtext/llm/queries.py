@@ -141,17 +141,17 @@ def p9_fill(spark, d):
 
 
 # ---- 10: encodings
-def garbled_documents(spark, d):
-    return repair.find_garbled(spread(table(spark, d, "documents").select("doc_id", "text", "source")), "doc_id")
+def garbled_source(spark, d):
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
 
 
 def p10_found(spark, d):
-    return garbled_documents(spark, d).select(F.col("key").alias("doc_id"))
+    return repair.decide(garbled_source(spark, d), "doc_id")[0].select(F.col("key").alias("doc_id"))
 
 
 def p10_restored(spark, d):
     """The chain, its posterior and the text as far as it can be had."""
-    return garbled_documents(spark, d).select(F.col("key").alias("doc_id"), repair.chain_name(F.col("chain")).alias("chain"), F.round("posterior", 4).alias("posterior"), "restored")
+    return repair.find_garbled(garbled_source(spark, d), "doc_id").select(F.col("key").alias("doc_id"), repair.chain_name(F.col("chain")).alias("chain"), F.round("posterior", 4).alias("posterior"), "restored")
 
 
 def queries():

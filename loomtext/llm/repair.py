@@ -62,6 +62,7 @@ SINGLE = 0x2600  # code points counted one by one; the encodings' characters lie
 ROUNDS = 5
 ALPHA = 20.0  # records of its source's prior that the prior over all sources is worth
 START = 0.002  # share of records that a chain is taken to have spoilt, before any evidence
+MEMO = 100_000  # spans that a worker keeps the outcome of
 VALID = 1.5  # gain of each sign that a valid sequence takes up: other text is valid utf-8 by chance at most
 CERTAIN = 60.0  # gain (nats) from which a chain from utf-8 is beyond doubt
 LEAST = 3.0  # gain (nats) from which a span counts
@@ -77,7 +78,7 @@ def classes(text: str) -> np.ndarray:
 
 #: Signs that wrong decoding leaves and that clean text has seldom; texts with one take no part in the model.
 LEFT_BEHIND = re.compile(
-    "[\x80-\x84\x86-\x9f\ufffd√∂≈∆ƒ∞∫]|[ÂÃÄÅÆÐÑØÙ][\x80-\xbf‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|É™|[â-ï][\x80-\xbf‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2}|[В-Яа-ф][\xa0-\xbf‚„…†‡‰‹‘’“”•–—™›№ЂЃѓЉЊЌЋЏђљњќћџҐґЄєЇїЅѕЈј]|[à-ÿ]{4}|[ÐÑØÙþýð]"
+    "[\x80-\x84\x86-\x9f\ufffd√∂≈∆ƒ∞∫]|[ÂÃÄÅÆÐÑØÙ][\x80-\xbf‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|É™|[â-ï][\x80-\xbf‚„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{2}|[В-Яа-ф][¤¦§©¬®°±µ¶·‚„†‡‰‹‘•™›ЂЃѓЉЊЌЋЏђљњќћџҐґЄєЇїЅѕЈј]|[à-ÿ]{4}|[ÐÑØÙþýð]"
 )
 
 
@@ -119,6 +120,7 @@ class Model:
         rows = counts.sum(1, keepdims=True)
         self.p = (counts + 2 * own) / (rows + 2)
         self.log = np.log(self.p)
+        self.memo: dict = {}
 
     def score(self, text: str) -> float:
         c = classes(text)
@@ -207,22 +209,32 @@ def evidence(text: str, model: Model) -> np.ndarray:
     return out
 
 
+def gained(chain: int, span: str, a: str, b: str, model: Model) -> tuple[str, float] | None:
+    """The original of a span between two characters and its gain, or nothing."""
+    seen, written = CHAINS[chain]
+    if not model.rare_in[chain](span) or len(span) < 2 and written != "utf-8":
+        return None
+    new = undone(chain, span)
+    if new is None:
+        return None
+    gain = model.score(a + new + b) - model.score(a + span + b)
+    if written == "utf-8":
+        gain += VALID * (len(span) - len(new))
+    return (new, gain) if gain > LEAST else None
+
+
 def restored(chain: int, text: str, model: Model):
     """``(start, end, original, gain)`` of the spans that the chain explains better than the text as it stands."""
-    rare, utf = model.rare_in[chain], CHAINS[chain][1] == "utf-8"
+    memo, n = model.memo, len(text)
     for m in spans_of(chain).finditer(text):
-        span, (i, j) = m.group(), m.span()
-        if not rare(span) or len(span) < 2 and not utf:
-            continue
-        new = undone(chain, span)
-        if new is None:
-            continue
-        a, b = text[i - 1] if i else "\n", text[j] if j < len(text) else "\n"
-        gain = model.score(a + new + b) - model.score(a + span + b)
-        if utf:
-            gain += VALID * (len(span) - len(new))
-        if gain > LEAST:
-            yield i, j, new, gain
+        i, j = m.span()
+        key = (chain, text[i - 1] if i else "\n", m.group(), text[j] if j < n else "\n")
+        if key not in memo:
+            if len(memo) >= MEMO:
+                memo.clear()
+            memo[key] = gained(chain, key[2], key[1], key[3], model)
+        if found := memo[key]:
+            yield i, j, *found
 
 
 def apply(chain: int, text: str, model: Model) -> str:
@@ -269,26 +281,42 @@ def evidence_rows(df: DataFrame, key: str, text: str, source: str, pairs: DataFr
     return found.mapInArrow(run, schema), model
 
 
-def posteriors(weights: Column) -> Column:
-    """Of each chain, from its prior (``weights``, the clean share last) and the gains; clean text gains nothing."""
-    logs = F.transform(F.arrays_zip(weights.alias("w"), F.concat(F.col("gains"), F.array(F.lit(0.0))).alias("g")), lambda x: F.log(F.greatest(x["w"], F.lit(1e-12))) + F.least(x["g"], F.lit(600.0)))
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+def posteriors(gains: np.ndarray, priors: np.ndarray) -> np.ndarray:
+    """Of each chain and (last) of clean text, which gains nothing, a row a record."""
+    logs = np.log(np.maximum(priors, 1e-12)) + np.pad(gains, ((0, 0), (0, 1)))
+    logs -= logs.max(1, keepdims=True)
+    raised = np.exp(logs)
+    return raised / raised.sum(1, keepdims=True)
+
+
+def numbers(column) -> np.ndarray:
+    return np.array(column.to_pylist(), float).reshape(len(column), -1)
+
+
+def summed(scored: DataFrame) -> DataFrame:
+    """Posterior sums of the chains by source; a batch sends one row a source."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                p = posteriors(numbers(batch.column("gains")), numbers(batch.column("prior")))[:, :KINDS]
+                names, at = np.unique(np.array(batch.column("source").to_pylist(), object).astype(str), return_inverse=True)
+                sums = np.zeros((len(names), KINDS))
+                np.add.at(sums, at, p)
+                yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), pa.string()), *(pa.array(sums[:, k]) for k in range(KINDS))], names=["source", *(f"s{k}" for k in range(KINDS))])
+
+    parts = scored.select("source", "gains", "prior").mapInArrow(run, "source string, " + ", ".join(f"s{k} double" for k in range(KINDS)))
+    return parts.groupBy("source").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(KINDS)])
 
 
 def estimate(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``posterior`` (of each chain, clean last) after EM over sources; ``totals`` counts all records of each source.
+    """``(source, prior)`` after EM: the share of each chain and (last) of clean text; ``totals`` counts all records by source.
 
-    Each round sums posteriors per source (a map-side combine of ``KINDS`` numbers) and draws small sources to the mean of all.
+    Each round sums posteriors by source and draws small sources to the mean of all.
     """
-    spark = found.sparkSession
-    mean = [START / KINDS] * KINDS
-    priors = totals.withColumn("prior", F.array(*[F.lit(x) for x in mean], F.lit(1 - START)))
+    priors = totals.withColumn("prior", F.array(*[F.lit(START / KINDS)] * KINDS, F.lit(1 - START)))
     for _ in range(rounds):
-        scored = found.join(priors.select("source", "prior"), "source").withColumn("p", posteriors(F.col("prior")))
-        sums = scored.groupBy("source").agg(*[F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(KINDS)])
+        sums = summed(found.join(priors.select("source", "prior"), "source"))
         sums = cut_lineage(totals.join(sums, "source", "left").na.fill(0.0))
         every = sums.agg(F.sum("n").alias("n"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(KINDS)]).first()
         count = max(every["n"] or 0, 1)
@@ -296,25 +324,38 @@ def estimate(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataF
         shares = [(F.col(f"s{k}") + ALPHA * mean[k]) / (F.col("n") + ALPHA) for k in range(KINDS)]
         clean = F.greatest(F.lit(1e-6), 1 - sum(shares[1:], shares[0]))
         priors = sums.select("source", "n", F.array(*shares, clean).alias("prior"))
-    return found.join(priors.select("source", "prior"), "source").withColumn("posterior", posteriors(F.col("prior"))).drop("prior")
+    return priors.select("source", "prior")
 
 
-def find_garbled(df: DataFrame, key: str, text: str = "text", source: str = "source") -> DataFrame:
-    """``(key, source, chain, posterior, text, restored)`` of the records that went wrong more likely than not."""
+def decide(df: DataFrame, key: str, text: str = "text", source: str = "source"):
+    """``(key, source, chain, posterior, text)`` of the records that went wrong more likely than not, and the broadcast model."""
     found, model = evidence_rows(df, key, text, source, bigram_counts(df, text))
     found = cut_lineage(found)
     totals = cut_lineage(df.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.count("*").alias("n")))
-    scored = estimate(found, totals)
-    wrong = scored.withColumn("clean", F.element_at("posterior", -1)).filter("clean < 0.5")
-    chains = F.slice("posterior", 1, KINDS)
-    wrong = wrong.select("key", "source", (F.array_position(chains, F.array_max(chains)) - 1).cast("int").alias("chain"), (1 - F.col("clean")).alias("posterior"), "text")
+    scored = found.join(estimate(found, totals), "source")
+    schema = T.StructType([found.schema["key"], found.schema["source"], T.StructField("chain", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("text", T.StringType())])
+
+    def run(batches):
+        for batch in batches:
+            p = posteriors(numbers(batch.column("gains")), numbers(batch.column("prior"))) if batch.num_rows else np.zeros((0, KINDS + 1))
+            wrong = pa.array(p[:, KINDS] < 0.5)
+            chain = pa.array(p[:, :KINDS].argmax(1) if len(p) else np.zeros(0), pa.int32())
+            rows = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("source"), chain, pa.array(1 - p[:, KINDS]), batch.column("text")], names=schema.names)
+            yield rows.filter(wrong)
+
+    return scored.select("key", "source", "gains", "prior", "text").mapInArrow(run, schema), model
+
+
+def find_garbled(df: DataFrame, key: str, text: str = "text", source: str = "source") -> DataFrame:
+    """The decided records with ``restored``, their text as far as it can be had."""
+    wrong, model = decide(df, key, text, source)
     schema = T.StructType([*wrong.schema.fields, T.StructField("restored", T.StringType())])
 
     def run(batches):
         m = Model(*model.value)
         for batch in batches:
             fixed = [repaired(t, c, m) for t, c in zip(batch.column("text").to_pylist(), batch.column("chain").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fixed, pa.string())], names=[*batch.schema.names, "restored"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fixed, pa.string())], names=schema.names)
 
     return wrong.mapInArrow(run, schema)
 
