@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import lookalikes, packing, pieces, quality, repair, sentences, terms, tokens
+from loomtext.llm import lookalikes, overlap, packing, pieces, quality, repair, sentences, terms, tokens
 from loomtext.session import one_record, parallelism, table
 
 
@@ -28,6 +28,23 @@ def p1_per_document(spark, d):
     return found.groupBy("origin", "doc_key").agg(F.count("*").alias("sentences"), F.sum(F.col("end_char") - F.col("start_char")).alias("chars"))
 
 
+# ---- 2: overlap of splits
+def review_overlaps(spark, d, extra=()):
+    return overlap.overlaps(spread(table(spark, d, "reviews")), "review_id", "content", "split_name", list(extra))
+
+
+def p2_found(spark, d):
+    found = review_overlaps(spark, d)
+    return found.select(F.least("key_a", "key_b").alias("review_id_a"), F.greatest("key_a", "key_b").alias("review_id_b"))
+
+
+def p2_coverage(spark, d):
+    """Per split and source: the evaluation records that stand in the train split, their pairs, and their best coverage."""
+    found = review_overlaps(spark, d, ["source"])
+    best = found.groupBy("side_b", "source", "key_b").agg(F.count("*").alias("pairs"), F.max(F.col("shared") / F.col("n_b")).alias("coverage"))
+    return best.groupBy(F.col("side_b").alias("split_name"), "source").agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.sum((F.col("coverage") == 1).cast("bigint")).alias("whole"))
+
+
 # ---- 3: pieces
 def cut_tables(spark: SparkSession, d: str) -> DataFrame:
     pages = one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id")

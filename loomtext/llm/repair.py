@@ -183,6 +183,7 @@ def undone(chain: int, span: str) -> str | None:
     return out if out != span and not re.search(r"[\x00-\x08\x0e-\x1f\x80-\x84\x86-\x9f-]", out) else None
 
 
+AGAIN = np.array([written == "utf-8" for _, written in CHAINS])  # a further round is one of double encoding
 LOST_SIGN = re.compile("\ufffd+")
 LOST_MARK = re.compile(r"\?+[^\W\dA-ZА-Я_]")  # starts with a literal: a quick search
 
@@ -249,7 +250,7 @@ def repaired(text: str, chain: int, model: Model, rounds: int = 3) -> str:
     """Undoes the chain, and whatever chain then explains more, for double encoding."""
     for _ in range(rounds):
         new = apply(chain, text, model) if chain < LOST else text
-        gains = evidence(new, model)[:LOST]
+        gains = evidence(new, model)[:LOST] * AGAIN
         if new == text and chain < LOST or gains.max() <= LEAST:
             return new
         text, chain = new, int(gains.argmax())
