@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm import lookalikes, overlap, packing, pieces, quality, repair, sentences, terms, tokens
-from loomtext.session import one_record, parallelism, table
+from loomtext.llm import lookalikes, neighbours, overlap, packing, pieces, quality, repair, sentences, terms, tokens
+from loomtext.session import cut_lineage, one_record, parallelism, table
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -82,6 +82,45 @@ def p4_forms(spark, d):
     return lookalikes.one_form(texts, "text", "form").select("origin", "key", "form")
 
 
+# ---- 5: neighbours
+def word_units(spark, d):
+    return cut_lineage(neighbours.unit_vectors(spread(table(spark, d, "word_vectors")), "word_id", "vec"))
+
+
+def p5_found(spark, d):
+    pairs = neighbours.mutual_pairs(neighbours.neighbour_lists(word_units(spark, d)), 0.8)
+    return pairs.select(F.col("id_a").alias("word_id_a"), F.col("id_b").alias("word_id_b"))
+
+
+def p5_neighbours(spark, d):
+    """The five most similar words of every word."""
+    words = one_record(table(spark, d, "word_vectors").select("word_id", "word"), "word_id")
+    lists = neighbours.neighbour_lists(word_units(spark, d))
+    named = lists.join(words.withColumnRenamed("word_id", "id"), "id").join(words.select(F.col("word_id").alias("near_id"), F.col("word").alias("near_word")), "near_id")
+    return named.select(F.col("id").alias("word_id"), "word", "rank", F.col("near_id").alias("near_word_id"), "near_word", F.round("similarity", 5).alias("similarity"))
+
+
+def recall(exact, found):
+    both = exact.join(found.select("id", "near_id").distinct().withColumn("hit", F.lit(1)), ["id", "near_id"], "left")
+    close = F.col("similarity") >= 0.8
+    return both.agg(F.count("*").alias("asked"), (F.count("hit") / F.count("*")).alias("recall"), (F.count(F.when(close, F.col("hit"))) / F.count(F.when(close, 1))).alias("recall_close"))
+
+
+def p5_recall(spark, d):
+    """Recall of the graph's lists against brute force, for the words whose id is divisible by 100."""
+    vectors = word_units(spark, d)
+    exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 100 = 0"))
+    return recall(exact, neighbours.neighbour_lists(vectors))
+
+
+def p5_search_recall(spark, d):
+    """Recall of greedy search of the graph against brute force, for the words whose id is divisible by 100."""
+    vectors = word_units(spark, d)
+    asked = vectors.filter("id % 100 = 0")
+    nodes, graph, _ = neighbours.build(vectors)
+    return recall(neighbours.exact_neighbours(vectors, asked), neighbours.search(nodes, graph, asked))
+
+
 # ---- 6: terms
 def page_counts(spark, d):
     return terms.merge_counts(None, terms.term_deltas(terms.signed_changes(None, table(spark, d, "corpus_pages"), "doc_id", "text")))
