@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm.lookalikes import forms
-from loomtext.session import cut_lineage
+from loomtext.session import cut_lineage, written
 
 LEAST = 8  # words
 SHARE = 0.8
 HOT = 200  # records from which a word is common
 HOT_WORDS = 100_000  # common words up to which their list is sent to the executors; beyond, records are joined with it
 MEMO = 300_000
+COUNTED = 4_000_000  # distinct words that a task counts at a time
 MARKS = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 DRAWN = re.compile(r"([^\W\d_])\1+")
@@ -59,16 +60,19 @@ class Words(dict):
             self[word] = (xxhash.xxh32_intdigest(kept) or 1) if kept else 0
 
 
-def numbered(hashes: list[int]) -> np.ndarray:
-    """Sorted hashes, a repeated word with its count, as signed 32-bit integers."""
-    if len(set(hashes)) < len(hashes):
-        seen: dict[int, int] = {}
-        out = []
-        for h in hashes:
-            k = seen[h] = seen.get(h, -1) + 1
-            out.append((h + k * 0x9E3779B1) & 0xFFFFFFFF if k else h)
-        hashes = out
-    return np.sort(np.array(hashes, np.uint32)).view(np.int32)
+def numbered(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of many records, sorted within each; a repeated word becomes others by its count."""
+    order = np.lexsort((hashes, rows))
+    rows, hashes = rows[order], hashes[order]
+    at = np.arange(len(rows))
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    repeat = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint32)
+    if repeat.any():
+        hashes = hashes + repeat * np.uint32(0x9E3779B1)
+        order = np.lexsort((hashes, rows))
+        rows, hashes = rows[order], hashes[order]
+    return rows, hashes
 
 
 def sequences(df: DataFrame, key: str, text: str, side: str, extra: list[str] = ()) -> DataFrame:
@@ -80,57 +84,85 @@ def sequences(df: DataFrame, key: str, text: str, side: str, extra: list[str] =
         known = Words()
         for batch in batches:
             texts = [t.split() if t else [] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            new = {w for t in texts if len(t) >= LEAST for w in t if w not in known}
-            known.learn(list(new)) if len(known) + len(new) <= MEMO else known.learn(list({w for t in texts for w in t}))
-            rows, classes, arrays = [], [], []
-            for i, t in enumerate(texts):
-                if len(t) >= LEAST:
-                    hashes = [h for h in map(known.get, t) if h]
-                    if len(hashes) >= LEAST:
-                        words = numbered(hashes)
-                        rows.append(i)
-                        classes.append(xxhash.xxh3_64_intdigest(words.tobytes()) - (1 << 63))
-                        arrays.append(words)
-            take = pa.array(rows, pa.int64())
-            ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+            rows = [i for i, t in enumerate(texts) if len(t) >= LEAST]
+            flat = [w for i in rows for w in texts[i]]
+            new = {w for w in flat if w not in known}
+            known.learn(list(new) if len(known) + len(new) <= MEMO else list(set(flat)))
+            hashes = np.fromiter(map(known.__getitem__, flat), np.uint32, len(flat))
+            owner = np.repeat(np.array(rows, np.int64), [len(texts[i]) for i in rows])
+            count = np.bincount(owner[hashes > 0], minlength=len(texts))
+            kept = (hashes > 0) & (count[owner] >= LEAST)
+            owner, hashes = numbered(owner[kept], hashes[kept])
+            rows = np.flatnonzero(count >= LEAST)
+            ends = np.concatenate([[0], np.cumsum(count[rows])])
+            data = hashes.tobytes()
+            classes = [xxhash.xxh3_64_intdigest(data[4 * a : 4 * b]) - (1 << 63) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            words = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int32)))
+            take = pa.array(rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(batch.num_columns - 1)), pa.array(classes, pa.int64()), words], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
 
-def common_words(rows: DataFrame) -> DataFrame:
-    """``(word, n)`` of the words in ``HOT`` records or more; the map side combines."""
-    return rows.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT)
+def common_words(rows: DataFrame, tasks: int) -> DataFrame:
+    """``(word, n)`` of the words in ``HOT`` records or more.
 
+    Of ``tasks`` tasks one at least holds ``HOT / tasks`` of a common word's records, so rarer words of a task stay there
+    and only the common ones are shuffled. A count may fall short by what was left out; it serves as an order, the same for
+    every record, and as the mark of a common word, which it never fails to give to one with ``HOT`` in some task's share.
+    """
+    least = max(2, HOT // max(tasks, 1))
 
-def minima(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the minima by (count where common, hash), and their counts."""
-    size = len(words) // 5 + 2
-    order = np.lexsort((words, counts))[:size]
-    return order, counts[order]
-
-
-def keys_of(words: np.ndarray, counts: np.ndarray) -> list[int]:
-    """Keys of one record: each uncommon minimum, and each pair of common ones."""
-    at, n = minima(words, counts)
-    values = words[at].astype(np.int64)
-    single, pairs = values[n == 0], np.sort(values[n > 0])
-    out = single.tolist()
-    for i in range(len(pairs) - 1):
-        out += ((pairs[i] * 0x9E3779B97F4A7C1 ^ pairs[i + 1 :] * 0x2545F4914F6CDD1) | (1 << 40)).tolist()
-    return out
+    def run(batches):
+        words, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for batch in batches:
+            new, n = np.unique(batch.column("words").flatten().to_numpy(), return_counts=True)
+            both, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+            words = both
+            if len(words) > COUNTED:  # a bound on memory: what has been met once so far is forgotten
+                words, counts = words[counts > 1], counts[counts > 1]
+        kept = counts >= least
+        yield pa.RecordBatch.from_arrays([pa.array(words[kept]), pa.array(counts[kept])], names=["word", "n"])
+
+    parts = rows.select("words").mapInArrow(run, "word int, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
+
+
+def seeds_of(rows: np.ndarray, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, seed)`` of many records: each uncommon minimum, and each pair of common ones; ``sizes`` are words by row."""
+    order = np.lexsort((words, counts, rows))
+    rows, words, counts = rows[order], words[order].astype(np.int64), counts[order]
+    starts = np.cumsum(sizes) - sizes
+    least = np.arange(len(rows)) - starts[rows] < sizes[rows] // 5 + 2
+    rows, words, counts = rows[least], words[least], counts[least]
+    alone = counts == 0
+    out_rows, out = [rows[alone]], [words[alone]]
+    order = np.lexsort((words[~alone], rows[~alone]))
+    rows, words = rows[~alone][order], words[~alone][order]
+    step = 1
+    while step < len(rows):
+        same = rows[:-step] == rows[step:]
+        if not same.any():
+            break
+        out_rows.append(rows[:-step][same])
+        out.append((words[:-step][same] * np.int64(0x1E3779B97F4A7C15)) ^ (words[step:][same] * np.int64(0x2545F4914F6CDD1D)) | np.int64(1 << 40))
+        step += 1
+    return np.concatenate(out_rows), np.concatenate(out)
 
 
 def fingerprint_rows(rows: DataFrame) -> DataFrame:
-    """``(seed, class, n, in_train, in_test)``, one row for each seed and class."""
+    """``(seed, class, n, in_train, in_test)``, one row for each seed and class, partitioned by seed.
+
+    A batch sends a class once for each side, so that copies do not heap up at one seed.
+    """
     spark = rows.sparkSession
-    hot = cut_lineage(common_words(rows))
+    hot = cut_lineage(common_words(rows, rows.rdd.getNumPartitions()))
     few = hot.limit(HOT_WORDS + 1).count() <= HOT_WORDS
     if few:
         listed = hot.orderBy("word").toPandas()
         sent = spark.sparkContext.broadcast((listed["word"].to_numpy(np.int32), listed["n"].to_numpy(np.int64)))
-        counted = rows.select("class", "side", "words", F.lit(None).cast("array<bigint>").alias("counts"))
+        counted = rows.select("class", "side", "words")
     else:  # the list has no small bound: each record's counts come by a join on the word, and back by class
         sent = None
         classes = rows.groupBy("class").agg(F.first("words").alias("words"), F.max((F.col("side") == "train").cast("int")).alias("a"), F.max((F.col("side") != "train").cast("int")).alias("b"))
@@ -142,23 +174,25 @@ def fingerprint_rows(rows: DataFrame) -> DataFrame:
     def run(batches):
         common, n_common = sent.value if sent is not None else (None, None)
         for batch in batches:
-            offsets = np.asarray(batch.column("words").offsets) if batch.num_rows else np.zeros(1, np.int32)
-            flat = batch.column("words").values.to_numpy(zero_copy_only=False)
+            train = np.array([s == "train" for s in batch.column("side").to_pylist()], bool)
+            classes = batch.column("class").to_numpy()
+            _, once = np.unique(np.stack([classes, train]), axis=1, return_index=True)
+            batch = batch.take(pa.array(np.sort(once)))
+            train, classes = train[np.sort(once)], classes[np.sort(once)]
+            lists = batch.column("words")
+            flat = lists.flatten().to_numpy()
+            sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
             if sent is None:
-                counts = batch.column("counts").values.to_numpy(zero_copy_only=False)
+                counts = batch.column("counts").flatten().to_numpy()
             elif len(common):
                 at = np.minimum(np.searchsorted(common, flat), len(common) - 1)
                 counts = np.where(common[at] == flat, n_common[at], 0)
             else:
                 counts = np.zeros(len(flat), np.int64)
-            found = [keys_of(flat[a:b], counts[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            sizes = np.diff(offsets)
-            take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            side = pa.array([s == "train" for s in batch.column("side").to_pylist()], pa.bool_()).take(take)
-            seeds = pa.array([k for x in found for k in x], pa.int64())
-            yield pa.RecordBatch.from_arrays([seeds, batch.column("class").take(take), pa.array(sizes, pa.int32()).take(take), side], names=["seed", "class", "n", "train"])
-
-    seeds = counted.mapInArrow(run, "seed bigint, class bigint, n int, train boolean")
+            at, seeds = seeds_of(np.repeat(np.arange(len(sizes)), sizes), flat, counts, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(classes[at]), pa.array(sizes[at].astype(np.int32)), pa.array(train[at])], names=["seed", "class", "n", "train"])
+
+    seeds = counted.mapInArrow(run, "seed bigint, class bigint, n int, train boolean").repartition("seed")
     return seeds.groupBy("seed", "class", "n").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_test"))
 
 
@@ -168,7 +202,7 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
     a = seeds.filter("in_train").select("seed", F.col("class").alias("class_a"), F.col("n").alias("n_a"))
     b = seeds.filter("in_test").select("seed", F.col("class").alias("class_b"), F.col("n").alias("n_b"))
     near = (F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & (F.col("class_a") != F.col("class_b"))
-    chains = cut_lineage(a.join(b, "seed").filter(near).groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count("*").alias("seeds")))
+    chains = written(a.join(b, "seed").filter(near).groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count("*").alias("seeds")))
     wanted = chains.select(F.col("class_a").alias("class")).union(chains.select("class_b")).distinct()
     words = rows.select("class", "words").join(wanted, "class", "left_semi").dropDuplicates(["class"])
     both = chains.join(words.select(F.col("class").alias("class_a"), F.col("words").alias("words_a")), "class_a").join(words.select(F.col("class").alias("class_b"), F.col("words").alias("words_b")), "class_b")
@@ -182,7 +216,7 @@ def overlapping_classes(rows: DataFrame) -> DataFrame:
 def overlaps(df: DataFrame, key: str, text: str, split: str, extra: list[str] = ()) -> DataFrame:
     """All pairs of a training record and another: ``(key_a, key_b, shared, n_a, n_b, side_b, *extra of b)``."""
     named = df.filter(F.col(split).isin("train", "validation", "test"))
-    rows = cut_lineage(sequences(named, key, text, split, extra))
+    rows = written(sequences(named, key, text, split, extra))
     classes = overlapping_classes(rows)
     members = rows.drop("words").distinct()
     a = members.filter("side = 'train'").select(F.col("class").alias("class_a"), F.col("key").alias("key_a"))
