@@ -4,9 +4,9 @@ Two records overlap if they share at least four fifths of the words of the longe
 to one sequence that does not depend on the order of its text: its words (case, marks, outer punctuation, emoji, drawn-out
 letters, unseen signs and look-alikes ignored; a repeated word counts as often as it stands), sorted by how common they are
 and by a rolling hash. Fingerprints are the minima of the window that the record's length allows: of ``n`` words the least
-``floor(n / 5) + 2``. Whoever shares four fifths with the record has at least two of its minima in common, so nothing is
-missed. A minimum that is a common word (over ``HOT`` records) would be a hot key: it takes part only together with a
-second common minimum, as a two-word gram, and one of the two shared minima's forms is always a key on both sides.
+``floor(n / 5) + 3``. Whoever shares four fifths with the record has at least three of its minima in common, so nothing is
+missed. A minimum that is a common word (over ``HOT`` records) would be a hot key: it takes part only together with two more
+common minima, as a gram of three; of three shared minima one is uncommon, or all three make such a gram on both sides.
 
 Seeds (shared fingerprints) are joined across the splits between classes of equal sequences, not records, so that copies cost
 nothing. In sequences of one order seeds are collinear as they are; the chain is extended by aligning the two sequences to
@@ -34,8 +34,9 @@ from loomtext.session import cut_lineage, written
 
 LEAST = 8  # words
 SHARE = 0.8
-HOT = 200  # records from which a word is common
-HOT_WORDS = 100_000  # common words up to which their list is sent to the executors; beyond, records are joined with it
+LONG = 64  # words up to which grams of three are made
+HOT = 20  # records from which a word is common
+HOT_WORDS = 200_000  # common words up to which their list is sent to the executors; beyond, records are joined with it
 MEMO = 300_000
 COUNTED = 4_000_000  # distinct words that a task counts at a time
 MARKS = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
@@ -130,24 +131,36 @@ def common_words(rows: DataFrame, tasks: int) -> DataFrame:
 
 
 def seeds_of(rows: np.ndarray, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, seed)`` of many records: each uncommon minimum, and each pair of common ones; ``sizes`` are words by row."""
+    """``(row, seed)`` of many records: each uncommon minimum, and each three common ones; ``sizes`` are words by row.
+
+    Records of more than ``LONG`` words, of which too many threes could be made, have each common minimum as a seed of
+    another kind; so have those that are short of it by a fifth, since their partners may be longer.
+    """
     order = np.lexsort((words, counts, rows))
     rows, words, counts = rows[order], words[order].astype(np.int64), counts[order]
     starts = np.cumsum(sizes) - sizes
-    least = np.arange(len(rows)) - starts[rows] < sizes[rows] // 5 + 2
+    least = np.arange(len(rows)) - starts[rows] < sizes[rows] // 5 + 3
     rows, words, counts = rows[least], words[least], counts[least]
     alone = counts == 0
     out_rows, out = [rows[alone]], [words[alone]]
-    order = np.lexsort((words[~alone], rows[~alone]))
-    rows, words = rows[~alone][order], words[~alone][order]
-    step = 1
-    while step < len(rows):
-        same = rows[:-step] == rows[step:]
-        if not same.any():
-            break
-        out_rows.append(rows[:-step][same])
-        out.append((words[:-step][same] * np.int64(0x1E3779B97F4A7C15)) ^ (words[step:][same] * np.int64(0x2545F4914F6CDD1D)) | np.int64(1 << 40))
-        step += 1
+    long = ~alone & (sizes[rows] > SHARE * LONG)
+    out_rows.append(rows[long])
+    out.append(words[long] ^ np.int64(1 << 41))
+    short = ~alone & (sizes[rows] <= LONG)
+    order = np.lexsort((words[short], rows[short]))
+    rows, words = rows[short][order], words[short][order]
+    first = 1
+    while first < len(rows) and (rows[:-first] == rows[first:]).any():
+        second = 1
+        while first + second < len(rows):
+            i = np.flatnonzero(rows[: -first - second] == rows[first + second :])
+            if not len(i):
+                break
+            out_rows.append(rows[i])
+            mixed = (words[i] * np.int64(0x1E3779B97F4A7C15)) ^ (words[i + first] * np.int64(0x2545F4914F6CDD1D)) ^ (words[i + first + second] * np.int64(0x369DEA0F31A53F85))
+            out.append(mixed | np.int64(1 << 40))
+            second += 1
+        first += 1
     return np.concatenate(out_rows), np.concatenate(out)
 
 
