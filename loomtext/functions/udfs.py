@@ -6,7 +6,13 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+#: Types as objects: a type as text could be read only with a session at hand.
+STRINGS = T.ArrayType(T.StringType())
+EDITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "a", "b")]))
+VARIANTS = T.ArrayType(T.StructType([T.StructField("variant", T.StringType()), T.StructField("edits", T.IntegerType())]))
+SPANS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 QUOTES_OPEN = frozenset("\"'“«‹„‘‚「『（([{")
 QUOTES_CLOSE = frozenset("\"'”»›‟’‛」』）)]}")
 # Abbreviations that end no sentence.
@@ -15,7 +21,7 @@ ABBREVIATIONS = frozenset("dr mr mrs ms prof etc e.g i.e a.m s.a b.c m.a ph.d u.
 TYPED = {"ch": "ç", "sh": "ş", "gh": "ğ", "c": "ç", "s": "ş", "e": "ə", "o": "ö", "u": "ü", "g": "ğ", "i": "ı", "w": "v"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -54,7 +60,7 @@ def segmented(text: str) -> list[str]:
     return [s for s in out if s]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(STRINGS)
 def segments(texts: pd.Series) -> pd.Series:
     """Sentences of a text that ``functions.text.sentence_text`` has prepared."""
     return texts.map(lambda t: None if t is None else segmented(t))
@@ -79,7 +85,7 @@ def weighted_distance(a: str, b: str, costs: dict, most: float) -> float:
 def weighted_levenshtein(costs: dict, most: float):
     """A function of two string columns; ``costs`` maps (op, a, b) to a cost and is small (one entry a pair of letters)."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else weighted_distance(x, y, costs, most) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -107,7 +113,7 @@ def aligned(source: str, target: str) -> list[dict]:
     return out[::-1]
 
 
-@F.pandas_udf("array<struct<op:string,a:string,b:string>>")
+@F.pandas_udf(EDITS)
 def alignment(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else aligned(a, b) for a, b in zip(source, target, strict=True)])
 
@@ -127,7 +133,7 @@ def typed_variants(word: str, most_edits: int, width: int) -> list[dict]:
 
 
 def variants(most_edits: int = 2, width: int = 40):
-    @F.pandas_udf("array<struct<variant:string,edits:int>>")
+    @F.pandas_udf(VARIANTS)
     def of(words: pd.Series) -> pd.Series:
         return words.map(lambda w: None if w is None else typed_variants(w, most_edits, width))
 
@@ -149,7 +155,7 @@ def word_spans(text: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<word:string,start:int,end:int>>")
+@F.pandas_udf(SPANS)
 def words_with_places(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else word_spans(t))
 
@@ -158,7 +164,7 @@ def merge_encoder(merges: list[tuple[str, str]]):
     """Splits words into subwords by ordered merges; the list is as long as the merges that were asked for."""
     rank = {pair: i for i, pair in enumerate(merges)}
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(STRINGS)
     def encode(words: pd.Series) -> pd.Series:
         def one(word):
             parts = [*word, "</w>"]

@@ -36,7 +36,7 @@ def first_by_hash(df: DataFrame, key: str, count: int, seed: int, mark: str = "t
 def split(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """``split``: train or test; the test part has ``max(1, round(n * share))`` rows, halves to even."""
     n = df.count()
-    return first_by_hash(df, key, max(1, round(n * share)) if n else 0, seed).withColumn("split", F.when("taken", "test").otherwise("train")).drop("taken")
+    return first_by_hash(df, key, max(1, round(n * share)) if n else 0, seed).withColumn("split", F.when(F.col("taken"), "test").otherwise("train")).drop("taken")
 
 
 def three_way(df: DataFrame, key: str, shares: tuple[float, float], seed: int) -> DataFrame:
@@ -47,7 +47,7 @@ def three_way(df: DataFrame, key: str, shares: tuple[float, float], seed: int) -
     dev = max(1, round(n * shares[0])) if n else 0
     marked = first_by_hash(groups, key, test, seed, "in_test")
     marked = first_by_hash(marked, key, test + dev, seed, "in_dev")
-    return df.join(marked, key).withColumn("split", F.when("in_test", "test").when("in_dev", "dev").otherwise("train")).drop("in_test", "in_dev")
+    return df.join(marked, key).withColumn("split", F.when(F.col("in_test"), "test").when(F.col("in_dev"), "dev").otherwise("train")).drop("in_test", "in_dev")
 
 
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:

@@ -56,7 +56,7 @@ def lexicon_features(tokens: DataFrame, lex: DataFrame, key: str) -> DataFrame:
     rows = j.groupBy(key).agg(
         F.sum("tf").alias("n_tokens"), F.count("*").alias("n_types"), F.sum(pos).alias("n_positive"), F.sum(neg).alias("n_negative"),
         F.sum(F.when(w > 0, 1).otherwise(0)).alias("types_positive"), F.sum(F.when(w < 0, 1).otherwise(0)).alias("types_negative"),
-        F.round(F.sum(F.coalesce(w * F.col("tf"), F.lit(0.0))), 4).alias("sum_weight"), F.round(F.coalesce(F.max(w), F.lit(0.0)), 6).alias("max_weight"), F.round(F.coalesce(F.min(w), F.lit(0.0)), 6).alias("min_weight"),
+        F.round(F.sum(F.coalesce(w.cast("decimal(18,6)") * F.col("tf"), F.lit(0).cast("decimal(18,6)"))), 4).cast("double").alias("sum_weight"), F.round(F.coalesce(F.max(w), F.lit(0.0)), 6).alias("max_weight"), F.round(F.coalesce(F.min(w), F.lit(0.0)), 6).alias("min_weight"),
     )
     return rows.withColumn("share_positive", F.round(F.col("n_positive") / F.col("n_tokens"), 6)).withColumn("share_negative", F.round(F.col("n_negative") / F.col("n_tokens"), 6))
 
