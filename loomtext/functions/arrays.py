@@ -66,7 +66,7 @@ def window_starts(n: Column, width: int, stride: int) -> Column:
 def chunk_sizes(n: Column, least: int, most: int, target: int) -> Column:
     """``(start, size)`` of balanced chunks with ``least`` to ``most`` tokens; null where there are none."""
     low, high = F.ceil(n / most).cast("int"), F.floor(n / least).cast("int")
-    count = F.least(F.greatest(F.greatest(F.bround(n / target), F.lit(1)).cast("int"), low), high)
+    count = F.greatest(F.least(F.greatest(F.greatest(F.bround(n / target), F.lit(1)).cast("int"), low), high), F.lit(1))
     base, extra = F.floor(n / count).cast("int"), (n % count).cast("int")
     fits = (n >= least) & (low <= high) & (base >= least) & (base + F.when(extra > 0, 1).otherwise(0) <= most)
     rows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk_id"), (i * base + F.least(i, extra)).alias("start"), (base + F.when(i < extra, 1).otherwise(0)).alias("size")))

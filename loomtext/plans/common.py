@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
 from loomtext.operators import corpus, sampling
-from loomtext.session import cut_lineage, one_record, table
+from loomtext.session import cut_lineage, one_record, spread, table
 
 WHITE = r"[\p{Z}\t\n\v\f\r\x{85}]"
 TOKEN = r"(\p{L}+(?:[''\-]\p{L}+)*|\p{N}+(?:[.,]\p{N}+)*)"
@@ -32,7 +32,7 @@ LINES = f"s0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source", "lang", "doc_kind")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source", "lang", "doc_kind"))
 
 
 def counts(spark: SparkSession, d: str) -> DataFrame:
@@ -41,7 +41,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, sid, words)``: the lines of documents that hold words."""
-    rows = docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line"))
+    rows = docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
     return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("k")).alias("sid"), tx.tokens(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 

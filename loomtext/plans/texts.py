@@ -8,7 +8,7 @@ from loomtext.functions import text as tx
 from loomtext.functions import udfs
 from loomtext.operators import boundaries, corpus, sampling
 from loomtext.plans.common import TOKENS, WHITE, counts, docs, normal_sql, tokens_sql
-from loomtext.session import one_record, table
+from loomtext.session import one_record, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -86,7 +86,7 @@ CORPUS_D = "corpus_d as (select distinct doc_idx as doc_id, text from corpus_doc
 
 
 def short_docs(spark, d):
-    return one_record(table(spark, d, "corpus_docs").select(F.col("doc_idx").alias("doc_id"), "text"), "doc_id")
+    return one_record(spread(table(spark, d, "corpus_docs")).select(F.col("doc_idx").alias("doc_id"), "text"), "doc_id")
 
 
 @query(

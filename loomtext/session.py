@@ -80,6 +80,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """More partitions for CPU-heavy work over a table in few files; only where the scan has fewer than there are cores."""
+    spark = df.sparkSession
+    return df.repartition(parallelism(spark)) if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism else df
+
+
 def one_record(df: DataFrame, *key: str) -> DataFrame:
     """Exact copies of a row (same key, all columns equal) are one record."""
     return df.dropDuplicates(list(key))
