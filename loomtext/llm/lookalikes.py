@@ -104,11 +104,11 @@ def forms(texts: list[str]) -> list[str]:
     else:
         shift = np.cumsum(count, dtype=np.int64) - count
         out = parts[np.repeat(start - shift, count) + np.arange(int(count.sum()))]
-    blank, stop = out == 32, out == 0
-    edge = blank | stop
-    before = np.concatenate([[True], edge[:-1]])
-    after = np.concatenate([stop[1:], [True]])
-    keep = ~(blank & (before | after))
+    if not len(out):
+        return [""] * len(texts)
+    edge = (out == 32) | (out == 0)
+    out = out[~((out == 32) & np.concatenate([[True], edge[:-1]]))]  # one blank of each run, none at the start
+    keep = ~((out == 32) & np.concatenate([out[1:] == 0, [True]]))  # none at the end
     return unicodedata.normalize("NFC", out[keep].tobytes().decode("utf-32-le", "surrogatepass")).split(NUL)
 
 

@@ -148,7 +148,7 @@ def test_lost_characters():
     model = clean_model()
     assert repair.evidence("M?kt?bd? böyük", model)[repair.LOST] > 5
     assert repair.evidence("m�kt�b", model)[repair.LOST] > 50
-    assert repair.evidence("Necə? Bax site.example/?q=1 «Hə?»", model).max() == 0
+    assert repair.evidence("Necə? Bax site.example/?q=1 Hə?", model).max() == 0
 
 
 def test_quality_statistics_are_defined():
