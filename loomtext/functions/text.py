@@ -114,8 +114,18 @@ def stemmed(word: Column) -> Column:
     return F.aggregate(suffixes, word, lambda acc, s: F.when(F.endswith(acc, s) & (F.length(acc) > F.length(s)), F.left(acc, F.length(acc) - F.length(s))).otherwise(acc))
 
 
+# Emoji that are words of their own, in the order they come out in.
+EMOJI = "👍👎👌🙃😉❤🖤💔💕💖💗💘💙💚💛💜💝💞💟💠🤗🤔🤣🤤🤥🤦🤧🤨🤩🤪🤫🤬🤭🤮🤯🤰🤱🤲🎉😡🥰"
+
+
 def legacy_tokens(text: Column) -> Column:
-    return F.transform(legacy_words(text), stemmed)
+    """Stemmed words; an emoji in a word stands behind it as a word of its own."""
+
+    def parts(word: Column) -> Column:
+        plain = F.regexp_replace(word, f"[{EMOJI}]", "")
+        return F.filter(F.concat(F.array(stemmed(plain)), F.regexp_extract_all(word, F.lit(f"([{EMOJI}])"), F.lit(1))), lambda w: w != "")
+
+    return F.flatten(F.transform(legacy_words(text), parts))
 
 
 def answer_form(text: Column) -> Column:

@@ -77,7 +77,9 @@ def legacy_sql(x: str) -> str:
     clean = f"trim(regexp_replace(translate(replace({plain}, '-', ' '), '{punct}', ''), '{WHITE}+', ' ', 'g'))"
     words = f"list_filter(string_split({clean}, ' '), lambda w: w <> '' and w not in ({', '.join(repr(s) for s in stop)}))"
     suffixes = "[" + ", ".join(repr(s) for s in tx.SUFFIXES) + "]"
-    return f"list_transform({words}, lambda w: list_reduce(list_prepend(w, {suffixes}), lambda acc, s: case when ends_with(acc, s) and length(acc) > length(s) then left(acc, length(acc) - length(s)) else acc end))"
+    plain_word = f"regexp_replace(w, '[{tx.EMOJI}]', '', 'g')"
+    stem = f"list_reduce(list_prepend({plain_word}, {suffixes}), lambda acc, s: case when ends_with(acc, s) and length(acc) > length(s) then left(acc, length(acc) - length(s)) else acc end)"
+    return f"list_filter(flatten(list_transform({words}, lambda w: list_concat([{stem}], regexp_extract_all(w, '[{tx.EMOJI}]')))), lambda x: x <> '')"
 
 
 def review_tokens(spark: SparkSession, d: str) -> DataFrame:

@@ -165,3 +165,13 @@ def word2vec(spark, d):
     rows = cut_lineage(sentences(spark, d).select("words"))
     model = Word2Vec(vectorSize=16, minCount=20, maxIter=1, numPartitions=4, seed=1, inputCol="words", outputCol="v").fit(rows)
     return model.getVectors().select("word", F.lit(16).cast("bigint").alias("length"))
+
+
+@query("trained_vectors")
+def trained_vectors(spark, d):
+    """Vectors of the commonest words, fitted to distance-weighted co-occurrence: a word and the length of its vector."""
+    from loomtext.operators.training import train_vectors
+
+    vocab = vocabulary(spark, d)
+    cooc = cut_lineage(vectors.cooccurrence(sentences(spark, d), 10, vocab, weighted=True))
+    return train_vectors(cooc, vocab, words=500, size=16, rounds=5).select("word", F.size("vec").cast("bigint").alias("length"))

@@ -62,3 +62,13 @@ def test_stream_counts(spark, tmp_path):
     query = windowed_counts(stream, "t", "text").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     query.awaitTermination(60)
     assert {r["token"]: r["n"] for r in spark.table("counts").collect()} == {"bir": 2, "iki": 1}
+
+
+def test_sql_functions(spark):
+    from loomtext.functions.registry import register
+
+    register(spark)
+    assert spark.sql("select size(sentences_of('Bir ev. İki ev.')) as n").first()["n"] == 2
+    rows = spark.sql("select sentence from (select 'Bir ev. İki ev.' as x) t, lateral sentence_rows(t.x)").collect()
+    assert [r["sentence"] for r in rows] == ["Bir ev.", "İki ev."]
+    assert spark.sql("select edits_between('ab', 'b')[0].op as op").first()["op"] == "del"
