@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 GLUE = "\u0001"  # between the words of an n-gram key: cheaper to compare and to shuffle than an array
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once: inside a lambda an expression would be worked out for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def padded(words: Column, n: int) -> Column:
     return F.concat(F.array_repeat(F.lit("<s>"), n - 1), words, F.array(F.lit("</s>")))
 
 
 def ngrams(words: Column, n: int) -> Column:
     """Structs ``(h, w)`` of the n-grams of a sentence with boundary signs: history (joined) and word."""
-    p = padded(words, n)
-    return F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.struct(F.array_join(F.slice(p, i, n - 1), GLUE).alias("h"), F.element_at(p, i + (n - 1)).alias("w")))
+    return bound(padded(words, n), lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.struct(F.array_join(F.slice(p, i, n - 1), GLUE).alias("h"), F.element_at(p, i + (n - 1)).alias("w"))))
 
 
 def events(words: Column) -> Column:
     """Structs ``(h2, h1, w)``: every predicted word of a sentence with the two before it."""
-    p = padded(words, 3)
-    return F.transform(F.sequence(F.lit(3), F.size(p)), lambda i: F.struct(F.element_at(p, i - 2).alias("h2"), F.element_at(p, i - 1).alias("h1"), F.element_at(p, i).alias("w")))
+    return bound(padded(words, 3), lambda p: F.transform(F.sequence(F.lit(3), F.size(p)), lambda i: F.struct(F.element_at(p, i - 2).alias("h2"), F.element_at(p, i - 1).alias("h1"), F.element_at(p, i).alias("w"))))
 
 
 def symbols(word: Column) -> Column:
@@ -45,7 +48,7 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-12)))
+    return bound(F.greatest(norm(a), F.lit(1e-12)), lambda n: F.transform(a, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -79,6 +82,5 @@ def fitted(words: Column, length: int, fill) -> Column:
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    return F.transform(x, lambda v: F.exp(v - top) / total)
+    raised = bound(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return bound(raised, lambda r: bound(F.aggregate(r, F.lit(0.0), lambda t, v: t + v), lambda total: F.transform(r, lambda v: v / total)))
