@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import udfs
+from loomtext.session import parallelism
 
 
 def with_parts(df: DataFrame, word: str, most: int) -> DataFrame:
@@ -20,8 +21,13 @@ def close_words(words: DataFrame, vocab: DataFrame, most: int) -> DataFrame:
     """``(word, token, n, dist)`` within ``most`` edits: an equality join on parts, then the banded distance.
 
     The vocabulary's words are cut into parts; a query word offers, for every length a match may have, what stands where such a
-    part may have shifted to. That replaces the nested loop over all pairs; every match shares at least one part.
+    part may have shifted to. That replaces the nested loop over all pairs; every match shares at least one part, and one among
+    them has at most as many edits before it as there are parts before, and after it as there are after: shifts beyond that are
+    not offered. Small tables make many pairs, so both sides are dealt to a set number of tasks, and the distance is taken before
+    equal pairs are moved.
     """
+    tasks = parallelism(words.sparkSession)
+    words = words.repartition(tasks, "word")
     v = with_parts(vocab.select("token", "n"), "token", most).select("token", "n", "part", "place", "length")
     w = F.length("word")
     lengths = F.sequence(F.greatest(w - most, F.lit(1)), w + most)
@@ -29,14 +35,16 @@ def close_words(words: DataFrame, vocab: DataFrame, most: int) -> DataFrame:
     def places(n: Column) -> Column:
         def at(i: Column) -> Column:
             a, b = F.floor(n * i / (most + 1)).cast("int"), F.floor(n * (i + 1) / (most + 1)).cast("int")
-            shifts = F.sequence(F.greatest(a - most, F.lit(0)), a + most)
+            first, last = F.greatest(a - i, a + w - n - (most - i), F.lit(0)), F.least(a + i, a + w - n + (most - i))
+            shifts = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
             return F.transform(shifts, lambda s: F.struct(i.alias("place"), n.alias("length"), F.substring(F.col("word"), s + 1, b - a).alias("part"), (b - a).alias("size")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), at))
 
-    keys = words.select("word", F.explode(F.flatten(F.transform(lengths, places))).alias("k")).select("word", "k.*").filter(F.length("part") == F.col("size")).drop("size").distinct()
-    pairs = keys.join(v, ["place", "length", "part"]).select("word", "token", "n").distinct()
-    return pairs.withColumn("dist", F.levenshtein("word", "token", most)).filter("dist >= 0")
+    keys = words.select("word", F.explode(F.flatten(F.transform(lengths, places))).alias("k")).select("word", "k.*").filter(F.length("part") == F.col("size")).drop("size")
+    by = ["place", "length", "part"]
+    pairs = keys.repartition(tasks, *by).join(v.repartition(tasks, *by), by).select("word", "token", "n")
+    return pairs.withColumn("dist", F.levenshtein("word", "token", most)).filter("dist >= 0").distinct()
 
 
 def suggestions(words: DataFrame, vocab: DataFrame, most: int = 2, top: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from loomtext.functions import udfs
 from loomtext.functions.arrays import GLUE
 from loomtext.operators import lm, spelling
 from loomtext.plans.common import LINES, SPLIT, TOKENS, counts, lm_split
-from loomtext.session import cut_lineage
+from loomtext.session import cut_lineage, parallelism
 
 QUERIES, SQL = {}, {}
 
@@ -109,9 +109,9 @@ ASKED = f"{TOKENS}, v as (select token, n from c where n >= 2 and length(token)
 
 
 def spell_tables(spark, d):
+    """Every word of the vocabulary is asked. ``ASKED`` above, in SQL, asks a part of them only."""
     vocab = cut_lineage(counts(spark, d).filter((F.col("n") >= 2) & (F.length("token") >= 3) & F.col("token").rlike("^[a-zçəığöşüâ]+$")))
-    words = vocab.filter("n between 10 and 20").filter(F.md5(F.concat("token", F.lit("-1"))) < "4").select(F.col("token").alias("word"))
-    return words, vocab
+    return vocab.select(F.col("token").alias("word")), vocab
 
 
 query("spell_suggest", f"with {ASKED}, k as (select word, token, n, levenshtein(translate(word, 'çəığöşüâ', '12345678'), translate(token, 'çəığöşüâ', '12345678')) as dist from a, v where abs(length(word) - length(token)) <= 2 and dist <= 2) select word, row_number() over (partition by word order by dist, n desc, token) as rank, token, dist, n from k qualify rank <= 5")(lambda spark, d: spelling.suggestions(*spell_tables(spark, d)))
@@ -129,10 +129,10 @@ def spell_accuracy(spark, d):
 def spell_expanded(spark, d):
     words, vocab = spell_tables(spark, d)
     plain = words.select(F.translate("word", "çşğəöüı", "csgeoui").alias("word")).distinct()
-    return spelling.expanded_suggestions(plain, vocab, most=1, top=3, width=12)
+    return spelling.expanded_suggestions(plain, vocab)
 
 
-query("spell_variants")(lambda spark, d: spell_tables(spark, d)[0].select("word", F.inline(udfs.variants()(F.col("word")))).select("word", "variant", F.col("edits").cast("bigint").alias("edits")))
+query("spell_variants")(lambda spark, d: spell_tables(spark, d)[0].repartition(parallelism(spark), "word").select("word", F.inline(udfs.variants()(F.col("word")))).select("word", "variant", F.col("edits").cast("bigint").alias("edits")))
 
 
 @query("confusion_costs")
