@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,29 +97,65 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return words.select("n", F.inline(pairs)).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def train_merges(words: DataFrame, merges: int, least: int = 2) -> list[tuple[str, str]]:
-    """Ordered merges. The table of word types stays in Spark; each round merges the best pair (ties: smaller pair) in it.
-
-    A round brings one row to the driver; the number of rounds is the number of merges asked for.
-    """
-    table = cut_lineage(words.select(F.array_join(F.concat(F.split("token", ""), F.array(F.lit("</w>"))), " ").alias("s"), "n"))
+def learned_merges(words: list[str], counts: list[int], merges: int, least: int) -> list[tuple[str, str]]:
+    """Merges in order, the commonest pair first (ties: smaller pair). Only words that hold the merged pair are counted anew."""
+    parts = [[*w, "</w>"] for w in words]
+    pairs, holders = defaultdict(int), defaultdict(set)
+    for k, s in enumerate(parts):
+        for p in zip(s, s[1:]):
+            pairs[p] += counts[k]
+            holders[p].add(k)
+    heap = [(-n, *p) for p, n in pairs.items()]
+    heapq.heapify(heap)
     out: list[tuple[str, str]] = []
-    for k in range(merges):
-        p = F.split("s", " ")
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.struct(F.element_at(p, i).alias("a"), F.element_at(p, i + 1).alias("b")))
-        best = table.filter(F.size(p) > 1).select("n", F.inline(pairs)).groupBy("a", "b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None or best["n"] < least:
+    while heap and len(out) < merges:
+        n, a, b = heapq.heappop(heap)
+        if pairs.get((a, b), 0) != -n:  # stale: each change of a count has its own entry
+            continue
+        if -n < least:
             break
-        out.append((best["a"], best["b"]))
-        a, b = (x.replace("\\", "\\\\") for x in (best["a"], best["b"]))
-        import re
-
-        pattern = rf"(?<!\S){re.escape(a)} {re.escape(b)}(?!\S)"
-        table = table.withColumn("s", F.regexp_replace("s", F.lit(pattern), F.lit((best["a"] + best["b"]).replace("\\", "\\\\").replace("$", "\\$"))))
-        if k % 10 == 9:
-            table = cut_lineage(table)
+        out.append((a, b))
+        moved = defaultdict(int)
+        for k in holders.pop((a, b)):
+            old, new, i = parts[k], [], 0
+            while i < len(old):
+                hit = i + 1 < len(old) and old[i] == a and old[i + 1] == b
+                new.append(a + b if hit else old[i])
+                i += 2 if hit else 1
+            parts[k], before, after = new, list(zip(old, old[1:])), list(zip(new, new[1:]))
+            for p in before:
+                moved[p] -= counts[k]
+            for p in after:
+                moved[p] += counts[k]
+                holders[p].add(k)
+            for p in set(before).difference(after):
+                if p in holders:
+                    holders[p].discard(k)
+        for p, change in moved.items():
+            if change:
+                pairs[p] += change
+                if pairs[p] > 0:
+                    heapq.heappush(heap, (-pairs[p], *p))
+                else:
+                    del pairs[p]
+                    holders.pop(p, None)
     return out
 
 
+def train_merges(words: DataFrame, merges: int, least: int = 2) -> list[tuple[str, str]]:
+    """Ordered merges. Each hangs on the one before, so one task holds the word types (not the text) and learns them all.
+
+    What comes to the driver is as long as the merges that were asked for.
+    """
+
+    def learn(groups):
+        frames = list(groups)
+        tokens, counts = ([x for f in frames for x in f[c].tolist()] for c in ("token", "n"))
+        yield pd.DataFrame([(i, *p) for i, p in enumerate(learned_merges(tokens, counts, merges, least))], columns=["i", "a", "b"])
+
+    rows = words.select("token", "n").repartition(1).mapInPandas(learn, "i long, a string, b string").collect()
+    return [(r["a"], r["b"]) for r in sorted(rows, key=lambda r: r["i"])]
+
+
 def is_blank(text: Column) -> Column:
     return tx.collapsed(text) == ""

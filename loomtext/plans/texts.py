@@ -8,7 +8,7 @@ from loomtext.functions import text as tx
 from loomtext.functions import udfs
 from loomtext.operators import boundaries, corpus, sampling
 from loomtext.plans.common import TOKENS, WHITE, counts, docs, normal_sql, tokens_sql
-from loomtext.session import one_record, spread, table
+from loomtext.session import cut_lineage, one_record, parallelism, spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -171,17 +171,18 @@ query("weighted_sample")(lambda spark, d: sampling.weighted(counts(spark, d), "t
 query("simple_sample", f"select doc_id from documents qualify row_number() over (order by {H.format(9)}, doc_id) <= 100")(lambda spark, d: sampling.first_by_hash(docs(spark, d).select("doc_id"), "doc_id", 100, 9).filter("taken").select("doc_id"))
 
 # ---- merges
+MERGES = 5000
 query("bpe_pairs", f"with {TOKENS}, v as (select token, n from c where n >= 2), y as (select list_concat(string_split(token, ''), ['</w>']) as s, n from v), z as (select unnest(list_zip(s[:-2], s[2:])) as p, n from y) select p[1] as a, p[2] as b, sum(n)::bigint as n from z group by all")(lambda spark, d: corpus.pair_counts(counts(spark, d).filter("n >= 2")))
 
 
 @query("bpe_merges")
 def bpe_merges(spark, d):
-    merges = corpus.train_merges(counts(spark, d).filter("n >= 2"), 20)
+    merges = corpus.train_merges(counts(spark, d).filter("n >= 2"), MERGES)
     return spark.createDataFrame([(i + 1, a, b) for i, (a, b) in enumerate(merges)], "rank bigint, a string, b string")
 
 
 @query("bpe_subwords")
 def bpe_subwords(spark, d):
-    words = counts(spark, d)
-    encode = udfs.merge_encoder(corpus.train_merges(words.filter("n >= 2"), 20))
-    return words.select("n", F.explode(encode(F.col("token"))).alias("subword")).groupBy("subword").agg(F.sum("n").alias("n"))
+    words = cut_lineage(counts(spark, d))
+    encode = udfs.merge_encoder(corpus.train_merges(words.filter("n >= 2"), MERGES))
+    return words.repartition(parallelism(spark)).select("n", F.explode(encode(F.col("token"))).alias("subword")).groupBy("subword").agg(F.sum("n").alias("n"))

@@ -1,10 +1,14 @@
 """Queries over all of their tables, where a part of them was taken before."""
 
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomtext.operators import corpus
 from loomtext.plans import language_models
 from tests.conftest import SF
 
@@ -42,3 +46,37 @@ def test_suggestions_agree_with_sql_where_it_asks(spark):
 def test_expanded_suggestions_have_the_operators_bounds(spark):
     got = entry.queries()["spell_expanded"](spark, SF).agg(F.max("rank"), F.max("dist")).first()
     assert tuple(got) == (5, 2)
+
+
+def test_merges_against_counting_all_pairs_each_time():
+    random.seed(3)
+    words = {"".join(random.choices("aabc", k=random.randint(1, 9))): random.randint(2, 9) for _ in range(80)}
+    parts, want = {w: [*w, "</w>"] for w in words}, []
+    while True:
+        pairs = Counter()
+        for w, s in parts.items():
+            for p in zip(s, s[1:]):
+                pairs[p] += words[w]
+        if not pairs:
+            break
+        a, b = min(pairs, key=lambda p: (-pairs[p], p))
+        want.append((a, b))
+        for w, s in parts.items():
+            out = []
+            for x in s:
+                if out and out[-1] == (a, False) and x == b:
+                    out[-1] = (a + b, True)
+                else:
+                    out.append((x, False))
+            parts[w] = [x for x, _ in out]
+    assert len(want) > 50
+    assert corpus.learned_merges(list(words), list(words.values()), 10**6, 2) == want
+
+
+def test_five_thousand_merges(spark):
+    sf = SF.replace("0.001", "0.01")
+    merges = entry.queries()["bpe_merges"](spark, sf).orderBy("rank").collect()
+    assert [r["rank"] for r in merges] == list(range(1, 5001))
+    symbols = {r["a"] + r["b"] for r in merges}
+    found = entry.queries()["bpe_subwords"](spark, sf).collect()
+    assert len({r["subword"] for r in found} & symbols) > 1000
