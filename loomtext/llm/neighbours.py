@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from loomtext.session import cut_lineage
 
 TOP = 5  # neighbours that are asked for
-KEEP = 10  # neighbours that a node keeps while the graph is built
-JOIN = 6  # of them, those that take part in a local join
+KEEP = 20  # neighbours that a node keeps while the graph is built
+JOIN = KEEP  # of them, those that take part in a local join: with fewer, recall falls as the table grows
 TREES = 6
 BITS = 24
 LEAF = 1024
-MEET = 24
+MEET = 60
 ROUNDS = 4
 SETTLED = 0.002  # share of list entries that may still change
 SEED = 20

@@ -4,10 +4,12 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomtext.llm import neighbours
 from loomtext.operators import corpus
 from loomtext.plans import language_models
 from tests.conftest import SF
@@ -80,3 +82,13 @@ def test_five_thousand_merges(spark):
     symbols = {r["a"] + r["b"] for r in merges}
     found = entry.queries()["bpe_subwords"](spark, sf).collect()
     assert len({r["subword"] for r in found} & symbols) > 1000
+
+
+def test_recall_where_leaves_are_a_small_part_of_the_table(spark, monkeypatch):
+    """As in a large table: a leaf holds a hundredth of the rows."""
+    monkeypatch.setattr(neighbours, "LEAF", 40)
+    m = np.random.default_rng(4).standard_normal((4000, 24))
+    rows = neighbours.unit_vectors(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "k long, v array<double>"), "k", "v").cache()
+    exact = neighbours.exact_neighbours(rows, rows.filter("id % 20 = 0")).select("id", "near_id")
+    assert exact.count() == 1000
+    assert exact.join(neighbours.neighbour_lists(rows), ["id", "near_id"], "left_semi").count() >= 900
