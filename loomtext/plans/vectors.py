@@ -169,9 +169,9 @@ def word2vec(spark, d):
 
 @query("trained_vectors")
 def trained_vectors(spark, d):
-    """Vectors of the commonest words, fitted to distance-weighted co-occurrence: a word and the length of its vector."""
+    """Vectors of the vocabulary's words, fitted to distance-weighted co-occurrence: a word and the length of its vector."""
     from loomtext.operators.training import train_vectors
 
     vocab = vocabulary(spark, d)
     cooc = cut_lineage(vectors.cooccurrence(sentences(spark, d), 10, vocab, weighted=True))
-    return train_vectors(cooc, vocab, words=500, size=16, rounds=5).select("word", F.size("vec").cast("bigint").alias("length"))
+    return train_vectors(cooc, vocab).select("word", F.size("vec").cast("bigint").alias("length"))

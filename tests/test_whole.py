@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from loomtext.llm import neighbours
-from loomtext.operators import corpus
+from loomtext.operators import corpus, training
 from loomtext.plans import language_models
+from loomtext.plans import vectors as plans_vectors
 from tests.conftest import SF
 
 
@@ -92,3 +93,22 @@ def test_recall_where_leaves_are_a_small_part_of_the_table(spark, monkeypatch):
     exact = neighbours.exact_neighbours(rows, rows.filter("id % 20 = 0")).select("id", "near_id")
     assert exact.count() == 1000
     assert exact.join(neighbours.neighbour_lists(rows), ["id", "near_id"], "left_semi").count() >= 900
+
+
+def test_every_word_gets_a_vector(spark):
+    sf = SF.replace("0.001", "0.01")
+    got = {r["word"]: r["length"] for r in entry.queries()["trained_vectors"](spark, sf).collect()}
+    words = {r["token"] for r in plans_vectors.vocabulary(spark, sf).collect()}
+    assert len(words) > 500 and set(got) - {"<unk>"} <= words and len(got) > 0.99 * len(words)
+    assert set(got.values()) == {32}
+
+
+def test_vectors_fit_the_entries(spark):
+    m = np.random.default_rng(5).standard_normal((30, 3))
+    x = np.exp(m @ m.T)
+    cooc = spark.createDataFrame([(f"w{i}", f"w{j}", float(x[i, j])) for i in range(30) for j in range(30)], "a string, b string, x double")
+    counts = spark.createDataFrame([(f"w{i}", 20 + i) for i in range(30)], "token string, n long")
+    v = {r["word"]: np.array(r["vec"]) for r in training.train_vectors(cooc, counts, size=6, rounds=10).collect()}
+    assert len(v) == 31
+    near = np.array([[v[f"w{i}"] @ v[f"w{j}"] for j in range(30)] for i in range(30)])
+    assert np.corrcoef(near.ravel(), np.log(x).ravel())[0, 1] > 0.8
