@@ -111,8 +111,8 @@ def p5_search_recall(spark, d):
     """Recall of greedy search of the graph against brute force, for the words whose id is divisible by 100."""
     vectors = word_units(spark, d)
     asked = vectors.filter("id % 100 = 0")
-    nodes, graph, _ = neighbours.build(vectors)
-    return recall(neighbours.exact_neighbours(vectors, asked), neighbours.search(nodes, graph, asked))
+    nodes, graph, leaves = neighbours.build(vectors)
+    return recall(neighbours.exact_neighbours(vectors, asked), neighbours.search(nodes, graph, leaves, asked))
 
 
 # ---- 6: terms

@@ -91,7 +91,10 @@ def unit_rows(spark, n=1500, seed=9):
 
 
 def test_neighbours_have_recall(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LEAF", 200)
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    monkeypatch.setattr(neighbours, "MEET", 10)
+    monkeypatch.setattr(neighbours, "UNIT", 500)
     m, df = unit_rows(spark)
     vectors = neighbours.unit_vectors(df, "id", "vec")
     assert vectors.count() == len(m)
@@ -99,8 +102,8 @@ def test_neighbours_have_recall(spark, monkeypatch):
     exact = neighbours.exact_neighbours(vectors, vectors.filter("id % 10 = 0"), block=64)
     row = queries.recall(exact, lists).first()
     assert row["recall"] >= 0.9 and row["recall_close"] >= 0.99
-    nodes, graph, _ = neighbours.build(vectors)
-    assert queries.recall(exact, neighbours.search(nodes, graph, vectors.filter("id % 10 = 0"))).first()["recall_close"] >= 0.9
+    nodes, graph, leaves = neighbours.build(vectors)
+    assert queries.recall(exact, neighbours.search(nodes, graph, leaves, vectors.filter("id % 10 = 0"))).first()["recall_close"] >= 0.9
 
 
 def test_neighbours_of_copies_and_of_nothing(spark):
