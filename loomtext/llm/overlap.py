@@ -2,15 +2,27 @@
 
 Two records overlap if they share at least four fifths of the words of the longer one, whatever the order. A record is brought
 to one sequence that does not depend on the order of its text: its words (case, marks, outer punctuation, emoji, drawn-out
-letters, unseen signs and look-alikes ignored; a repeated word counts as often as it stands), sorted by how common they are
-and by a rolling hash. Fingerprints are the minima of the window that the record's length allows: of ``n`` words the least
-``floor(n / 5) + 3``. Whoever shares four fifths with the record has at least three of its minima in common, so nothing is
-missed. A minimum that is a common word (over ``HOT`` records) would be a hot key: it takes part only together with two more
-common minima, as a gram of three; of three shared minima one is uncommon, or all three make such a gram on both sides.
+letters, unseen signs and look-alikes ignored; a repeated word counts as often as it stands), the uncommon ones first, then
+the common ones from rare to frequent. Equal sequences are one class, and classes are compared, so that copies cost nothing.
 
-Seeds (shared fingerprints) are joined across the splits between classes of equal sequences, not records, so that copies cost
-nothing. In sequences of one order seeds are collinear as they are; the chain is extended by aligning the two sequences to
-the end, which gives the shared words, and their share of each record is its coverage.
+*Fingerprints.* Of ``n`` words at most ``d = n // 5`` are not shared. The first shared word stands among the first ``d + 1`` of
+both sequences: the uncommon words there are fingerprints, with their place. A common word (in ``HOT`` classes or more) would
+be a key of many rows, so it is none by itself. Records without a shared uncommon word share common words alone (and none of
+them holds more than ``d`` uncommon words): their fingerprints are rolling hashes of three common words. Up to ``SHORT`` words
+all threes of the first ``d - u + 3`` common ones are taken (``u`` uncommon words stand before them). Longer records take the
+threes in every window of four words, among the first ``3 n // 5 - 2 u + 3``: of so many words ``m >= da + db + 3`` are
+shared, where ``da`` and ``db`` others stand between them, so the spans of the threes of consecutive shared words add up to
+less than six each on both sides, and one three lies within four words on both. So no pair is missed, and a record's
+fingerprints grow with its length only. Records near ``SHORT`` have both kinds.
+
+*Chains.* Fingerprints are joined across the splits. Those of a pair are collinear, as both sequences are in one order; what
+lies before, between and behind the first and the last bounds the shared words from above, and pairs that cannot reach their
+share end there.
+
+*Alignment.* The chain is extended to both ends of the sequences: the longest common subsequence of two sequences in one
+order are their equal words. Its share of each record is the record's coverage.
+
+``HOT`` does not grow with the collection on purpose: it bounds the pairs that one key can make (``HOT ** 2 / 4``).
 
 Defined cases: null, blank and short contents (fewer than ``LEAST`` words) take no part; exact copies of a row are one
 record; a record in no named split takes no part; words are compared by 32-bit hashes (a chance of 1e-7 a pair to count a
@@ -25,7 +37,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +46,12 @@ from loomtext.session import cut_lineage, written
 
 LEAST = 8  # words
 SHARE = 0.8
-LONG = 64  # words up to which grams of three are made
-HOT = 20  # records from which a word is common
+SHORT = 24  # words up to which all threes of the first common words are made: fewer than those of windows
+HOT = 20  # classes from which a word is common
 HOT_WORDS = 200_000  # common words up to which their list is sent to the executors; beyond, records are joined with it
 MEMO = 300_000
-COUNTED = 4_000_000  # distinct words that a task counts at a time
+COUNTED = 2_000_000  # distinct words that a task counts before it sends them on
+BASE = np.int64(0x1E3779B97F4A7C15)
 MARKS = re.compile("[̀-ͯ҃-҇᪰-᫿᷀-᷿⃐-⃿︠-︯]+")
 OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 DRAWN = re.compile(r"([^\W\d_])\1+")
@@ -105,93 +118,45 @@ def sequences(df: DataFrame, key: str, text: str, side: str, extra: list[str] =
     return source.mapInArrow(run, schema)
 
 
-def common_words(rows: DataFrame, tasks: int) -> DataFrame:
-    """``(word, n)`` of the words in ``HOT`` records or more.
-
-    Of ``tasks`` tasks one at least holds ``HOT / tasks`` of a common word's records, so rarer words of a task stay there
-    and only the common ones are shuffled. A count may fall short by what was left out; it serves as an order, the same for
-    every record, and as the mark of a common word, which it never fails to give to one with ``HOT`` in some task's share.
-    """
-    least = max(2, HOT // max(tasks, 1))
+def common_words(classes: DataFrame) -> DataFrame:
+    """``(word, n)`` of the words in ``HOT`` classes or more; tasks combine before anything is shuffled."""
 
     def run(batches):
         words, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(counts)], names=["word", "n"])
+
         for batch in batches:
             new, n = np.unique(batch.column("words").flatten().to_numpy(), return_counts=True)
             both, at = np.unique(np.concatenate([words, new]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
             words = both
-            if len(words) > COUNTED:  # a bound on memory: what has been met once so far is forgotten
-                words, counts = words[counts > 1], counts[counts > 1]
-        kept = counts >= least
-        yield pa.RecordBatch.from_arrays([pa.array(words[kept]), pa.array(counts[kept])], names=["word", "n"])
+            if len(words) > COUNTED:
+                yield out()
+                words, counts = words[:0], counts[:0]
+        yield out()
 
-    parts = rows.select("words").mapInArrow(run, "word int, n bigint")
+    parts = classes.select("words").mapInArrow(run, "word int, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT)
 
 
-def seeds_of(rows: np.ndarray, words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, seed)`` of many records: each uncommon minimum, and each three common ones; ``sizes`` are words by row.
-
-    Records of more than ``LONG`` words, of which too many threes could be made, have each common minimum as a seed of
-    another kind; so have those that are short of it by a fifth, since their partners may be longer.
-    """
-    order = np.lexsort((words, counts, rows))
-    rows, words, counts = rows[order], words[order].astype(np.int64), counts[order]
-    starts = np.cumsum(sizes) - sizes
-    least = np.arange(len(rows)) - starts[rows] < sizes[rows] // 5 + 3
-    rows, words, counts = rows[least], words[least], counts[least]
-    alone = counts == 0
-    out_rows, out = [rows[alone]], [words[alone]]
-    long = ~alone & (sizes[rows] > SHARE * LONG)
-    out_rows.append(rows[long])
-    out.append(words[long] ^ np.int64(1 << 41))
-    short = ~alone & (sizes[rows] <= LONG)
-    order = np.lexsort((words[short], rows[short]))
-    rows, words = rows[short][order], words[short][order]
-    first = 1
-    while first < len(rows) and (rows[:-first] == rows[first:]).any():
-        second = 1
-        while first + second < len(rows):
-            i = np.flatnonzero(rows[: -first - second] == rows[first + second :])
-            if not len(i):
-                break
-            out_rows.append(rows[i])
-            mixed = (words[i] * np.int64(0x1E3779B97F4A7C15)) ^ (words[i + first] * np.int64(0x2545F4914F6CDD1D)) ^ (words[i + first + second] * np.int64(0x369DEA0F31A53F85))
-            out.append(mixed | np.int64(1 << 40))
-            second += 1
-        first += 1
-    return np.concatenate(out_rows), np.concatenate(out)
-
-
-def fingerprint_rows(rows: DataFrame) -> DataFrame:
-    """``(seed, class, n, in_train, in_test)``, one row for each seed and class, partitioned by seed.
-
-    A batch sends a class once for each side, so that copies do not heap up at one seed.
-    """
-    spark = rows.sparkSession
-    hot = cut_lineage(common_words(rows, rows.rdd.getNumPartitions()))
-    few = hot.limit(HOT_WORDS + 1).count() <= HOT_WORDS
-    if few:
+def ordered(classes: DataFrame) -> DataFrame:
+    """``(class, n, u, words, in_train, in_test)``: the sequences in their order, ``u`` uncommon words first."""
+    spark = classes.sparkSession
+    hot = cut_lineage(common_words(classes))
+    sent = None
+    if hot.limit(HOT_WORDS + 1).count() <= HOT_WORDS:
         listed = hot.orderBy("word").toPandas()
         sent = spark.sparkContext.broadcast((listed["word"].to_numpy(np.int32), listed["n"].to_numpy(np.int64)))
-        counted = rows.select("class", "side", "words")
     else:  # the list has no small bound: each record's counts come by a join on the word, and back by class
-        sent = None
-        classes = rows.groupBy("class").agg(F.first("words").alias("words"), F.max((F.col("side") == "train").cast("int")).alias("a"), F.max((F.col("side") != "train").cast("int")).alias("b"))
         each = classes.select("class", F.posexplode("words").alias("pos", "word")).join(hot, "word", "left")
         lists = each.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("x"))
-        sides = F.explode(F.array_compact(F.array(F.when(F.col("a") == 1, F.lit("train")), F.when(F.col("b") == 1, F.lit("other")))))
-        counted = classes.join(lists.select("class", F.col("x.n").alias("counts")), "class").select("class", sides.alias("side"), "words", "counts")
+        classes = classes.join(lists.select("class", F.col("x.n").alias("counts")), "class")
 
     def run(batches):
         common, n_common = sent.value if sent is not None else (None, None)
         for batch in batches:
-            train = np.array([s == "train" for s in batch.column("side").to_pylist()], bool)
-            classes = batch.column("class").to_numpy()
-            _, once = np.unique(np.stack([classes, train]), axis=1, return_index=True)
-            batch = batch.take(pa.array(np.sort(once)))
-            train, classes = train[np.sort(once)], classes[np.sort(once)]
             lists = batch.column("words")
             flat = lists.flatten().to_numpy()
             sizes = np.diff(np.asarray(lists.offsets)).astype(np.int64)
@@ -202,36 +167,131 @@ def fingerprint_rows(rows: DataFrame) -> DataFrame:
                 counts = np.where(common[at] == flat, n_common[at], 0)
             else:
                 counts = np.zeros(len(flat), np.int64)
-            at, seeds = seeds_of(np.repeat(np.arange(len(sizes)), sizes), flat, counts, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(classes[at]), pa.array(sizes[at].astype(np.int32)), pa.array(train[at])], names=["seed", "class", "n", "train"])
+            rows = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((flat, counts, rows))
+            uncommon = np.bincount(rows[counts == 0], minlength=len(sizes))
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[order]))
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(sizes.astype(np.int32)), pa.array(uncommon.astype(np.int32)), words, batch.column("in_train"), batch.column("in_test")], names=["class", "n", "u", "words", "in_train", "in_test"])
+
+    return classes.mapInArrow(run, "class bigint, n int, u int, words array<int>, in_train boolean, in_test boolean")
+
+
+def seeds_of(words: np.ndarray, sizes: np.ndarray, uncommon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, place, seed)`` of many ordered sequences, given by their sizes and numbers of uncommon words."""
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    start = np.cumsum(sizes) - sizes
+    place = np.arange(len(rows)) - start[rows]
+    spare = sizes // 5
+    alone = (place < uncommon[rows]) & (place <= spare[rows])
+    out = [(rows[alone], place[alone], words[alone].astype(np.int64))]
+    left = spare - uncommon  # words that may differ among the common ones
+    words = words.astype(np.int64) & 0xFFFFFFFF
+
+    def grams(first: np.ndarray, last: np.ndarray, steps: list[tuple[int, int]], kind: int) -> None:
+        """Rolling hashes of the words at a place and at two steps behind it, up to the last place."""
+        for one, two in steps:
+            i = first[place[first] + two < last[rows[first]]]
+            if len(i):
+                out.append((rows[i], place[i], (((words[i] * BASE + words[i + one]) * BASE + words[i + two]) << np.int64(2)) | np.int64(kind) | np.int64(-1 << 63)))
+
+    common = (place >= uncommon[rows]) & (left[rows] >= 0)
+    short = np.flatnonzero(common & (sizes[rows] <= SHORT))
+    most = int(left[rows[short]].max(initial=-1)) + 3
+    grams(short, np.minimum(uncommon + left + 3, sizes), [(a, b) for a in range(1, most) for b in range(a + 1, most)], 1)
+    long = np.flatnonzero(common & (sizes[rows] > SHARE * SHORT))
+    grams(long, np.minimum(sizes * 3 // 5 - uncommon + 3, sizes), [(1, 2), (1, 3), (2, 3)], 2)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def fingerprint_rows(sequences: DataFrame) -> DataFrame:
+    """``(seed, class, n, place, in_train, in_test)``, one row for each seed of a class, partitioned by seed."""
 
-    seeds = counted.mapInArrow(run, "seed bigint, class bigint, n int, train boolean").repartition("seed")
-    return seeds.groupBy("seed", "class", "n").agg(F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_test"))
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            at, place, seeds = seeds_of(lists.flatten().to_numpy(), batch.column("n").to_numpy().astype(np.int64), batch.column("u").to_numpy().astype(np.int64))
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(place.astype(np.int32)), *(batch.column(c).take(take) for c in ("class", "n", "in_train", "in_test"))], names=["seed", "place", "class", "n", "in_train", "in_test"])
 
+    return sequences.mapInArrow(run, "seed bigint, place int, class bigint, n int, in_train boolean, in_test boolean").repartition("seed")
+
+
+def reaches(shared: Column) -> Column:
+    return shared >= SHARE * F.greatest("n_a", "n_b")
+
+
+def chained(sequences: DataFrame) -> DataFrame:
+    """``(class_a, class_b, n_a, n_b, seeds, first, last)`` of the pairs whose chain of seeds leaves room for their share.
+
+    ``first`` and ``last`` hold the places of a seed in both sequences, that of the first in the upper 32 bits.
+    """
+    seeds = fingerprint_rows(sequences)
+    a = seeds.filter("in_train").select("seed", F.col("class").alias("class_a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
+    b = seeds.filter("in_test").select("seed", F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
+    room = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    met = a.join(b, "seed").filter((F.col("class_a") != F.col("class_b")) & reaches(F.least("n_a", "n_b")) & reaches(room))
+    place = F.shiftleft(F.col("p_a").cast("bigint"), 32) + F.col("p_b")
+    chains = met.groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count("*").alias("seeds"), F.min(place).alias("first"), F.max(place).alias("last"))
+    high, low = (lambda x: F.shiftright(x, 32)), (lambda x: F.col(x).bitwiseAND(F.lit(0xFFFFFFFF)))
+    between = F.least(high("last") - high("first"), low("last") - low("first"))
+    room = F.least(high("first"), low("first")) + between + F.least(F.col("n_a") - high("last"), F.col("n_b") - low("last"))
+    return chains.filter(reaches(room))
+
+
+def aligned(chains: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Adds ``shared``: the words of the alignment that extends the chain to both ends of the two sequences."""
+    schema = T.StructType([*chains.schema.fields, T.StructField("shared", T.IntegerType())])
+
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for name in ("words_a", "words_b"):
+                lists = batch.column(name)
+                owner = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets)))
+                keys.append((owner << 32) | (lists.flatten().to_numpy().astype(np.int64) & 0xFFFFFFFF))
+            # no word stands twice in a sequence, and both are in one order: the alignment is what they have in common
+            shared = np.bincount(np.intersect1d(*keys, assume_unique=True) >> 32, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(shared.astype(np.int32))], names=schema.names)
 
-def overlapping_classes(rows: DataFrame) -> DataFrame:
-    """``(class_a, class_b, seeds, shared, n_a, n_b)``: of training and of other records; a class with both is one with itself."""
-    seeds = fingerprint_rows(rows)
-    a = seeds.filter("in_train").select("seed", F.col("class").alias("class_a"), F.col("n").alias("n_a"))
-    b = seeds.filter("in_test").select("seed", F.col("class").alias("class_b"), F.col("n").alias("n_b"))
-    near = (F.least("n_a", "n_b") >= SHARE * F.greatest("n_a", "n_b")) & (F.col("class_a") != F.col("class_b"))
-    chains = written(a.join(b, "seed").filter(near).groupBy("class_a", "class_b", "n_a", "n_b").agg(F.count("*").alias("seeds")))
     wanted = chains.select(F.col("class_a").alias("class")).union(chains.select("class_b")).distinct()
-    words = rows.select("class", "words").join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    words = sequences.select("class", "words").join(wanted, "class", "left_semi")
     both = chains.join(words.select(F.col("class").alias("class_a"), F.col("words").alias("words_a")), "class_a").join(words.select(F.col("class").alias("class_b"), F.col("words").alias("words_b")), "class_b")
-    aligned = both.withColumn("shared", F.size(F.array_intersect("words_a", "words_b"))).drop("words_a", "words_b")
-    almost = aligned.filter(F.col("shared") >= SHARE * F.greatest("n_a", "n_b"))
-    in_both = rows.groupBy("class").agg(F.max(F.col("side") == "train").alias("a"), F.max(F.col("side") != "train").alias("b"), F.first(F.size("words")).alias("n")).filter("a and b")
-    equal = in_both.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(None).cast("bigint").alias("seeds"), F.col("n").alias("shared"))
+    return both.select(*chains.columns, "words_a", "words_b").mapInArrow(run, schema)
+
+
+def overlapping_classes(rows: DataFrame) -> DataFrame:
+    """``(class_a, class_b, n_a, n_b, seeds, shared)``: of training and of other records; a class with both is one with itself."""
+    train = F.col("side") == "train"
+    classes = rows.groupBy("class").agg(F.first("words").alias("words"), F.max(train).alias("in_train"), F.max(~train).alias("in_test"))
+    sequences = written(ordered(classes))
+    almost = aligned(written(chained(sequences)), sequences).filter(reaches(F.col("shared")))
+    same = F.col("n")
+    equal = sequences.filter("in_train and in_test").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), same.alias("n_a"), same.alias("n_b"), F.lit(None).cast("bigint").alias("seeds"), same.alias("shared"))
     return almost.select("class_a", "class_b", "n_a", "n_b", "seeds", "shared").unionByName(equal)
 
 
-def overlaps(df: DataFrame, key: str, text: str, split: str, extra: list[str] = ()) -> DataFrame:
-    """All pairs of a training record and another: ``(key_a, key_b, shared, n_a, n_b, side_b, *extra of b)``."""
+def members_of(df: DataFrame, key: str, text: str, split: str, extra: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """``(key, side, *extra, class)`` of the records that take part, and the overlapping classes."""
     named = df.filter(F.col(split).isin("train", "validation", "test"))
     rows = written(sequences(named, key, text, split, extra))
-    classes = overlapping_classes(rows)
-    members = rows.drop("words").distinct()
+    return rows.drop("words").distinct(), overlapping_classes(rows)
+
+
+def overlaps(df: DataFrame, key: str, text: str, split: str, extra: list[str] = ()) -> DataFrame:
+    """All pairs of a training record and another: ``(key_a, key_b, shared, n_a, n_b, side_b, *extra of b)``."""
+    members, classes = members_of(df, key, text, split, extra)
     a = members.filter("side = 'train'").select(F.col("class").alias("class_a"), F.col("key").alias("key_a"))
     b = members.filter("side <> 'train'").select(F.col("class").alias("class_b"), F.col("key").alias("key_b"), F.col("side").alias("side_b"), *extra)
     return classes.join(a, "class_a").join(b, "class_b").select("key_a", "key_b", "shared", "n_a", "n_b", "side_b", *extra)
+
+
+def record_coverage(df: DataFrame, key: str, text: str, split: str, extra: list[str] = ()) -> DataFrame:
+    """``(key, side, *extra, class, links, coverage)``: each evaluation record that overlaps training records, whole in one row.
+
+    ``links`` counts the training records; they come from the classes' sizes, and no pair of members is made.
+    """
+    members, classes = members_of(df, key, text, split, extra)
+    sizes = members.filter("side = 'train'").groupBy(F.col("class").alias("class_a")).agg(F.count("*").alias("size"))
+    best = classes.join(sizes, "class_a").groupBy(F.col("class_b").alias("class")).agg(F.sum("size").alias("links"), F.max(F.col("shared") / F.col("n_b")).alias("coverage"))
+    return members.filter("side <> 'train'").join(best, "class").select("key", "side", *extra, "class", "links", "coverage")

@@ -32,11 +32,15 @@ def p2_found(spark, d):
     return found.select(F.least("key_a", "key_b").alias("review_id_a"), F.greatest("key_a", "key_b").alias("review_id_b"))
 
 
+def p2_records(spark, d):
+    """Every evaluation record that stands in the train split: its class of equal contents, its train records, its coverage."""
+    found = overlap.record_coverage(spread(table(spark, d, "reviews")), "review_id", "content", "split_name", ["source"])
+    return found.select(F.col("key").alias("review_id"), F.col("side").alias("split_name"), "source", F.col("class").alias("class_id"), "links", F.round("coverage", 6).alias("coverage"))
+
+
 def p2_coverage(spark, d):
     """Per split and source: the evaluation records that stand in the train split, their pairs, and their best coverage."""
-    found = review_overlaps(spark, d, ["source"])
-    best = found.groupBy("side_b", "source", "key_b").agg(F.count("*").alias("pairs"), F.max(F.col("shared") / F.col("n_b")).alias("coverage"))
-    return best.groupBy(F.col("side_b").alias("split_name"), "source").agg(F.count("*").alias("records"), F.sum("pairs").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.sum((F.col("coverage") == 1).cast("bigint")).alias("whole"))
+    return p2_records(spark, d).groupBy("split_name", "source").agg(F.count("*").alias("records"), F.sum("links").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.sum((F.col("coverage") == 1).cast("bigint")).alias("whole"))
 
 
 # ---- 3: pieces

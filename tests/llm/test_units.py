@@ -99,24 +99,33 @@ def test_words_are_compared_plainly():
     assert form("👍👍") == "" and form("-") == "" and form("Iı") == "i" and form("əE") == "e"
 
 
-def test_minima_of_records_that_overlap_are_shared():
+def test_overlapping_records_share_a_fingerprint():
     random.seed(7)
-    for _ in range(400):
-        n = random.randint(8, 90)
+    met = 0
+    for k in range(4000):
+        n = random.randint(8, 90) if k % 2 else random.randint(17, 32)
         a = random.sample(range(1, 400), n)
         b = list(a)
-        random.shuffle(b)
         for _ in range(random.randint(0, n // 5)):
-            b[random.randrange(n)] = random.randint(400, 900)
-        if len(set(b)) < n or len(set(a) & set(b)) < 0.8 * n:
+            b[random.randrange(len(b))] = random.randint(400, 900)
+        b += random.sample(range(900, 999), random.randint(0, n // 4))
+        if random.random() < 0.3:
+            b = b[: random.randint(int(0.8 * n), len(b))]
+        b = list(set(b))
+        if len(b) < 8 or len(set(a) & set(b)) < 0.8 * max(n, len(b)):
             continue
-        counts = {w: random.choice((0, 25, 30, 999)) for w in set(a) | set(b)}
-        seeds = []
-        for words in (a, b):
-            w = np.sort(np.array(words, np.int32))
-            rows, found = overlap.seeds_of(np.zeros(n, np.int64), w, np.array([counts[x] for x in w.tolist()]), np.array([n]))
-            seeds.append(set(found.tolist()))
-        assert seeds[0] & seeds[1]
+        met += 1
+        hot = random.random()
+        counts = {w: random.choice((25, 30, 999)) if random.random() < hot else 0 for w in set(a) | set(b)}
+        words = [np.array(sorted(x, key=lambda w: (counts[w], w)), np.int32) for x in (a, b)]
+        sizes = np.array([len(a), len(b)])
+        rows, place, seeds = overlap.seeds_of(np.concatenate(words), sizes, np.array([sum(not counts[w] for w in x) for x in (a, b)]))
+        found = [dict(zip(seeds[rows == i].tolist(), place[rows == i].tolist(), strict=True)) for i in (0, 1)]
+        both = found[0].keys() & found[1].keys()
+        assert both
+        assert all(words[0][found[0][x]] == words[1][found[1][x]] for x in both)
+        assert len(rows) <= 8 * sizes.sum()
+    assert met > 500
 
 
 def test_repeated_words_are_numbered():
