@@ -9,11 +9,20 @@ from loomtext.llm import lookalikes, neighbours, overlap, packing, pieces, quali
 from loomtext.session import cut_lineage, one_record, spread, table
 
 
+def function_words(spark, d) -> dict[str, list[str]]:
+    """The fixed list of common words by language."""
+    common: dict[str, list[str]] = {}
+    for row in table(spark, d, "common_words").select("lang", "word").distinct().collect():
+        if row["lang"] and row["word"]:
+            common.setdefault(row["lang"], []).append(row["word"])
+    return common
+
+
 # ---- 1: sentences
 def p1_found(spark, d):
     pages = one_record(table(spark, d, "corpus_pages").select(F.lit("corpus_pages").alias("origin"), F.col("doc_id").alias("doc_key"), "text"), "doc_key")
     docs = one_record(table(spark, d, "corpus_docs").select(F.lit("corpus_docs").alias("origin"), F.col("doc_idx").alias("doc_key"), "text"), "doc_key")
-    return sentences.split(pages.unionByName(docs), ["origin", "doc_key"], "text")
+    return sentences.split(pages.unionByName(docs), ["origin", "doc_key"], "text", function_words(spark, d))
 
 
 def p1_per_document(spark, d):
@@ -146,11 +155,7 @@ def p6_vocab_terms(spark, d):
 
 # ---- 7: quality
 def rated_pages(spark, d):
-    common: dict[str, list[str]] = {}
-    for row in table(spark, d, "common_words").select("lang", "word").distinct().collect():  # a fixed list
-        if row["lang"] and row["word"]:
-            common.setdefault(row["lang"], []).append(row["word"])
-    return quality.rate(one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id"), "doc_id", "text", common)
+    return quality.rate(one_record(table(spark, d, "corpus_pages").select("doc_id", "text"), "doc_id"), "doc_id", "text", function_words(spark, d))
 
 
 def p7_found(spark, d):

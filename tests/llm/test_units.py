@@ -93,6 +93,29 @@ def test_forms():
     assert all(unicodedata.is_normalized("NFC", t) for t in once) and lookalikes.forms([]) == []
 
 
+COMMON = {"the": ("en",), "i": ("en",), "it": ("en",), "for": ("en",), "and": ("en",), "we": ("en",), "və": ("az",), "bu": ("az", "tr"), "der": ("de",), "und": ("de",)}
+
+
+@pytest.mark.parametrize(
+    ("text", "n"),
+    [
+        ("I said no. She left.", 2), ("I like it. She left home.", 2), ("See No. 5 for it. Ok.", 2), ("We saw the str. Then we left.", 2), ("And Mr. Smith left. I saw it.", 2),
+        ("Der Weg und der Hof in der Str. 5 war lang. Er ging.", 2), ("Bu və akad. Əliyev gəldi. O getdi.", 2), ("По данным акад. Иванов ушёл. Он там.", 2),
+    ],
+)
+def test_abbreviations_hold_in_their_language(text, n):
+    assert len(sentences.sentences(text, COMMON)) == n
+
+
+@pytest.mark.parametrize("part", ["Mr. Smith ", "A.", "a.b.C", "((( ", "“ ”» ", "1. ", "… ", ". ", "« ) "])
+def test_time_grows_with_the_line(part):
+    import time
+
+    began = time.process_time()
+    sentences.sentences(part * (80_000 // len(part)))
+    assert time.process_time() - began < 3
+
+
 def test_words_are_compared_plainly():
     form = lambda w: overlap.plain(lookalikes.forms([w])[0])
     assert {form(w) for w in ("Çoх", "çooox!", "«ÇOX»", "çox", "çox👍")} == {"cox"}
