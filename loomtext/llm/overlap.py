@@ -12,8 +12,8 @@ them holds more than ``d`` uncommon words): their fingerprints are rolling hashe
 all threes of the first ``d - u + 3`` common ones are taken (``u`` uncommon words stand before them). Longer records take the
 threes in every window of four words, among the first ``3 n // 5 - 2 u + 3``: of so many words ``m >= da + db + 3`` are
 shared, where ``da`` and ``db`` others stand between them, so the spans of the threes of consecutive shared words add up to
-less than six each on both sides, and one three lies within four words on both. So no pair is missed, and a record's
-fingerprints grow with its length only. Records near ``SHORT`` have both kinds.
+less than six on both sides together, and one three lies within four words on both. So no pair is missed, and a long record's
+fingerprints grow with its length only; of short ones the rarest words alone are taken. Records near ``SHORT`` have both kinds.
 
 *Chains.* Fingerprints are joined across the splits. Those of a pair are collinear, as both sequences are in one order; what
 lies before, between and behind the first and the last bounds the shared words from above, and pairs that cannot reach their
@@ -46,7 +46,7 @@ from loomtext.session import cut_lineage, written
 
 LEAST = 8  # words
 SHARE = 0.8
-SHORT = 24  # words up to which all threes of the first common words are made: fewer than those of windows
+SHORT = 64  # words up to which all threes of the first common words are made
 HOT = 20  # classes from which a word is common
 HOT_WORDS = 200_000  # common words up to which their list is sent to the executors; beyond, records are joined with it
 MEMO = 300_000
