@@ -166,7 +166,8 @@ def p7_statistics(spark, d):
     """Every page's statistics, distance, and the contribution of each statistic to it."""
     rated = rated_pages(spark, d)
     each = [F.round(F.col(c)[i], 6).alias(f"{prefix}{name}") for i, name in enumerate(quality.NAMES) for c, prefix in (("stats", ""), ("contributions", "by_"))]
-    return rated.select(F.col("key").cast("bigint").alias("doc_id"), "lang", F.round("distance", 6).alias("distance"), *each, "is_junk")
+    plain = [F.col("reported")[i].alias(name) for i, name in enumerate(quality.REPORTED)]
+    return rated.select(F.col("key").cast("bigint").alias("doc_id"), "lang", *plain, F.round("distance", 6).alias("distance"), *each, "is_junk")
 
 
 # ---- 8: tokens
