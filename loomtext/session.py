@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -34,12 +35,14 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (local tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured and the master is local (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="loomtext-checkpoint-")
         atexit.register(shutil.rmtree, configured, True)
     spark.sparkContext.setCheckpointDir(configured)
@@ -55,15 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut_lineage``, as compressed columns: for larger tables of which parts are read again. Removed at exit."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+def shared_path(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is written there is removed by ``remove_written``, at exit at the latest."""
+    path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     if not _written:
         atexit.register(remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as compressed columns: for larger tables of which parts are read again."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def remove_written() -> None:
@@ -88,5 +96,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def one_record(df: DataFrame, *key: str) -> DataFrame:
-    """Exact copies of a row (same key, all columns equal) are one record."""
-    return df.dropDuplicates(list(key))
+    """Exact copies of a row (same key, all columns equal) are one record; unlike rows with one key all stay."""
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.dropDuplicates(list(key))
+    return df.withColumn("__row", F.xxhash64(*rest)).dropDuplicates([*key, "__row"]).drop("__row")
