@@ -27,15 +27,23 @@ from pyspark.sql import types as T
 #: Letters of other scripts and the letters that they look like, in the order of the scripts.
 ALIKE = {
     # Cyrillic
+    **dict(zip("ЅЈѴѵѠѡ", "SJVvWw", strict=True)),
     **dict(zip("АВЕЅІЈКМНОРСТУХԀԚԜҮӘ", "ABESIJKMHOPCTYXDQWYƏ", strict=True)),
     **dict(zip("аеѕіјорсухһԁԛԝӏә", "aesijopcyxhdqwlə", strict=True)),
     # Greek
     **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX", strict=True)),
     **dict(zip("ονραικυ", "ovpaiku", strict=True)),
+    **dict(zip("ϹϲϳͿ", "CcjJ", strict=True)),
     # Armenian
-    **dict(zip("ՍՏՕԼօոսհց", "USOLonuhg", strict=True)),
-    # further Latin
-    **dict(zip("ǝɑɡ", "əag", strict=True)),
+    **dict(zip("ՍՏՕԼօոսհցզյ", "USOLonuhgqj", strict=True)),
+    # Coptic
+    **dict(zip("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌⲟⲣⲥ", "ABEHIKMNOPCTYXZopc", strict=True)),
+    # Cherokee
+    **dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ", strict=True)),
+    # Lisu
+    **dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ", strict=True)),
+    # further Latin, small capitals of the shape of the small letters among them
+    **dict(zip("ǝɑɡᴄᴏᴠᴡᴢᴜꜱ", "əagcovwzus", strict=True)),
     # hyphens
     "‐": "-",
 }
@@ -58,7 +66,7 @@ def decomposed(code: int) -> str:
     out = ""
     for c in unicodedata.normalize("NFD", chr(code)):
         kind = unicodedata.decomposition(c)
-        ligature = kind.startswith("<compat>") and 0xFB00 <= ord(c) <= 0xFB17
+        ligature = kind.startswith("<compat>") and (0xFB00 <= ord(c) <= 0xFB17 or 0x2160 <= ord(c) <= 0x217F)  # Roman numbers as well
         if kind.startswith(SAME_LOOK) or ligature:
             out += "".join(decomposed(int(x, 16)) for x in kind.split()[1:])
         else:
@@ -161,3 +169,14 @@ def look_alike_pairs(prints: DataFrame, key: str, origin: str) -> DataFrame:
     right = rows.select("origin", "form", F.col("raw").alias("raw_b"), F.col("key").alias("y"))
     both = pairs.join(left, ["origin", "form", "raw_a"]).join(right, ["origin", "form", "raw_b"]).filter("x <> y")
     return both.select("origin", F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b"))
+
+
+def look_alike_classes(prints: DataFrame, key: str, origin: str) -> DataFrame:
+    """``(origin, key, class_id, texts, records)``: each record that looks like another of its origin with an unequal text.
+
+    One row a record, whatever the size of its class: the records of a form and their different texts are counted.
+    """
+    rows = prints.select(F.col(origin).alias("origin"), F.col(key).alias("key"), "form", "raw").distinct()
+    texts = rows.groupBy("origin", "form", "raw").agg(F.count("*").alias("n"))  # combined before a form is one key
+    several = texts.groupBy("origin", "form").agg(F.count("*").alias("texts"), F.sum("n").alias("records")).filter("texts > 1")
+    return rows.join(several, ["origin", "form"]).select("origin", "key", F.xxhash64("origin", "form").alias("class_id"), "texts", "records")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import lookalikes, neighbours, overlap, packing, pieces, quality, repair, sentences, terms, tokens
-from loomtext.session import cut_lineage, one_record, spread, table
+from loomtext.session import cut_lineage, one_record, shared_path, spread, table
 
 
 def function_words(spark, d) -> dict[str, list[str]]:
@@ -60,9 +60,8 @@ def cut_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark, d):
-    """Items longer than the limit, as the piece operator cuts them."""
-    rows = pieces.pieces(cut_tables(spark, d), ["origin", "item_key"], "text")
-    return rows.filter("piece = 0 and cut_kind is not null").select("origin", "item_key", "cut_kind")
+    """Items longer than the limit, by the stretches that the piece operator had to cut through."""
+    return pieces.cut_texts(cut_tables(spark, d), ["origin", "item_key"], "text").filter("cut_kind is not null").select("origin", "item_key", "cut_kind")
 
 
 def p3_pieces(spark, d):
@@ -81,6 +80,11 @@ def p4_found(spark, d):
     return lookalikes.look_alike_pairs(prints_of(spark, d), "key", "origin")
 
 
+def p4_classes(spark, d):
+    """Every record that looks like another one, with its class."""
+    return lookalikes.look_alike_classes(prints_of(spark, d), "key", "origin")
+
+
 def p4_forms(spark, d):
     """The one form of every train review and page."""
     reviews = one_record(table(spark, d, "reviews").filter("split_name = 'train'").select("review_id", "content"), "review_id")
@@ -130,27 +134,41 @@ def p5_search_recall(spark, d):
 
 # ---- 6: terms
 def page_counts(spark, d):
-    return terms.merge_counts(None, terms.term_deltas(terms.signed_changes(None, table(spark, d, "corpus_pages"), "doc_id", "text")))
+    """The state of the pages' terms: built from an earlier version (the older half of the revisions), then the changes to the whole table are merged."""
+    pages = table(spark, d, "corpus_pages").select("doc_id", "text", "revision_id")
+    middle = pages.agg(F.percentile_approx("revision_id", 0.5)).first()[0]
+    earlier = pages.filter(F.col("revision_id") <= F.lit(middle))
+    state = shared_path(spark)
+    terms.update_state(state, terms.term_deltas(terms.signed_changes(None, earlier, "doc_id", "text")), 1)
+    terms.update_state(state, terms.term_deltas(terms.signed_changes(earlier, pages, "doc_id", "text")), 2)
+    return terms.read_state(spark, state)
 
 
 def vocab_counts(spark, d):
-    return terms.merge_counts(None, terms.saved_deltas(table(spark, d, "vocab_words")))
+    """The state of the saved counts: as of the middle of the saves, then the later ones take the place of those that they replace."""
+    saves = table(spark, d, "vocab_words")
+    middle = saves.agg(F.timestamp_micros(F.percentile_approx(F.unix_micros("saved_at"), 0.5))).first()[0]
+    state = shared_path(spark)
+    terms.update_state(state, terms.saved_deltas(saves.filter(F.col("saved_at") <= F.lit(middle))), 1)
+    terms.update_state(state, terms.saved_deltas(saves, middle), 2)
+    return terms.read_state(spark, state)
 
 
 def p6_found(spark, d):
-    pages = one_record(table(spark, d, "corpus_pages").select("doc_id", terms.is_filled(F.col("text")).alias("filled")), "doc_id").filter("filled").count()
-    counts, words = page_counts(spark, d), vocab_counts(spark, d)
+    counts, words = page_counts(spark, d), vocab_counts(spark, d).filter("occurrences > 0")
+    pages = counts.filter(F.col("term") == terms.ALL).agg(F.sum("records")).first()[0] or 0
+    counts = counts.filter(F.col("term") != terms.ALL)
     total = words.agg(F.sum("occurrences")).first()[0] or 0
     found = terms.mark_terms(counts, 3, F.col("records") * 4 > pages).select(F.lit("corpus_pages").alias("origin"), "term", "mark")
     return found.unionByName(terms.mark_terms(words, 5, F.col("occurrences") * 200 > total).select(F.lit("vocab_words").alias("origin"), "term", "mark"))
 
 
 def p6_page_terms(spark, d):
-    return page_counts(spark, d)
+    return page_counts(spark, d).filter(F.col("term") != terms.ALL)
 
 
 def p6_vocab_terms(spark, d):
-    return vocab_counts(spark, d).select("term", "occurrences", F.col("records").alias("batches"))
+    return vocab_counts(spark, d).filter("occurrences > 0").select("term", "occurrences", F.col("records").alias("batches"))
 
 
 # ---- 7: quality

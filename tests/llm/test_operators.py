@@ -52,6 +52,8 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(rows, "origin string, key bigint, text string")
     got = lookalikes.look_alike_pairs(lookalikes.fingerprints(df, ["origin", "key"], "text"), "key", "origin").collect()
     assert sorted((r["key_a"], r["key_b"]) for r in got) == [(1, 2), (2, 3)]
+    classes = lookalikes.look_alike_classes(lookalikes.fingerprints(df, ["origin", "key"], "text"), "key", "origin").collect()
+    assert sorted((r["key"], r["texts"], r["records"]) for r in classes) == [(1, 2, 3), (2, 2, 3), (3, 2, 3)]
     forms = lookalikes.one_form(df, "text", "form").select("key", "form").collect()
     assert {r["form"] for r in forms} == {"Salam ev", "salam ev", None, ""}
 
@@ -119,13 +121,25 @@ def test_neighbours_of_copies_and_of_nothing(spark):
 def test_deltas_give_the_state_of_a_fresh_count(spark, tmp_path):
     old = spark.createDataFrame([(1, "ev ev su"), (2, "su"), (3, None)], "k bigint, t string")
     new = spark.createDataFrame([(1, "ev dağ"), (3, "dağ dağ"), (4, " ")], "k bigint, t string")
-    counts = lambda df: {(r["term"], r["occurrences"], r["records"]) for r in df.select("term", "occurrences", "records").collect()}
+    counts = lambda df: {(r["term"], r["occurrences"], r["records"]) for r in df.filter("term <> ''").select("term", "occurrences", "records").collect()}
+    records = lambda: terms.read_state(spark, path).filter("term = ''").first()["records"]
     fresh = terms.merge_counts(None, terms.term_deltas(terms.signed_changes(None, new, "k", "t")))
     path = str(tmp_path / "state")
-    terms.update_state(path, terms.term_deltas(terms.signed_changes(None, old, "k", "t")))
-    assert counts(spark.read.parquet(path)) == {("ev", 2, 1), ("su", 2, 2)}
-    terms.update_state(path, terms.term_deltas(terms.signed_changes(old, new, "k", "t")))
-    assert counts(spark.read.parquet(path)) == counts(fresh) == {("ev", 1, 1), ("dağ", 3, 2)}
+    assert terms.read_state(spark, path).count() == 0
+    terms.update_state(path, terms.term_deltas(terms.signed_changes(None, old, "k", "t")), 1)
+    assert counts(terms.read_state(spark, path)) == {("ev", 2, 1), ("su", 2, 2)} and records() == 2
+    for _ in range(2):  # the second time the batch is in the state already
+        terms.update_state(path, terms.term_deltas(terms.signed_changes(old, new, "k", "t")), 2)
+        assert counts(terms.read_state(spark, path)) == counts(fresh) == {("ev", 1, 1), ("dağ", 3, 2)} and records() == 2
+    terms.update_state(path, terms.term_deltas(terms.signed_changes(new, new.filter("false"), "k", "t")), 3)
+    assert terms.read_state(spark, path).count() == 0
+
+
+def test_changed_texts_alone_are_fetched(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "e"), (5, "e")], "k bigint, t string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (3, "d"), (4, "b"), (4, "b")], "k bigint, t string")
+    got = sorted((r["text"], r["sign"]) for r in terms.signed_changes(old, new, "k", "t").collect())
+    assert got == [("b", -1), ("b", 1), ("c", 1), ("d", 1), ("e", -1)]
 
 
 def test_saved_counts(spark):
