@@ -114,18 +114,20 @@ def stemmed(word: Column) -> Column:
     return F.aggregate(suffixes, word, lambda acc, s: F.when(F.endswith(acc, s) & (F.length(acc) > F.length(s)), F.left(acc, F.length(acc) - F.length(s))).otherwise(acc))
 
 
-# Emoji that are words of their own, in the order they come out in.
-EMOJI = "👍👎👌🙃😉❤🖤💔💕💖💗💘💙💚💛💜💝💞💟💠🤗🤔🤣🤤🤥🤦🤧🤨🤩🤪🤫🤬🤭🤮🤯🤰🤱🤲🎉😡🥰"
+# Emoji that are words of their own; the heart is one with its variation sign.
+HEART = "❤\ufe0f"
+EMOJI = "👍👎👌🙃😉🖤💔💕💖💗💘💙💚💛💜💝💞💟💠🤗🤔🤣🤤🤥🤦🤧🤨🤩🤪🤫🤬🤭🤮🤯🤰🤱🤲🎉😡🥰"
+EMOJI_WORD = f"({HEART}|[{EMOJI}])"
 
 
 def legacy_tokens(text: Column) -> Column:
-    """Stemmed words; an emoji in a word stands behind it as a word of its own."""
+    """Stemmed words, without those that are stop words once they are stemmed; each different emoji of a word stands behind it."""
 
     def parts(word: Column) -> Column:
-        plain = F.regexp_replace(word, f"[{EMOJI}]", "")
-        return F.filter(F.concat(F.array(stemmed(plain)), F.regexp_extract_all(word, F.lit(f"([{EMOJI}])"), F.lit(1))), lambda w: w != "")
+        plain = F.regexp_replace(word, EMOJI_WORD, "")
+        return F.filter(F.concat(F.array(F.when(plain.isin(*STOP_WORDS), "").otherwise(plain)), F.array_distinct(F.regexp_extract_all(word, F.lit(EMOJI_WORD), F.lit(1)))), lambda w: w != "")
 
-    return F.flatten(F.transform(legacy_words(text), parts))
+    return F.flatten(F.transform(F.transform(legacy_words(text), stemmed), parts))
 
 
 def answer_form(text: Column) -> Column:

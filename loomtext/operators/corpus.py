@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
-from loomtext.session import cut_lineage
+from loomtext.session import cut_lineage, parallelism
 
 # The letters of the alphabet.
 ALPHABET = "abcçdeəfgğhxıijkqlmnoöpprsştuüvyzABCÇDEƏFGĞHXIİJKQLMNOÖPPRSŞTUÜVYZ"
 
+PARTS = 4096  # parts in which steps are summed up
+
 
 def load_texts(df: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """Texts that are not blank, in key order; the limit counts after the blank ones are gone."""
@@ -57,20 +59,33 @@ def spelling_vocabulary(counts: DataFrame, least: int = 2, length: int = 3, uppe
 def heaps(df: DataFrame, key: str, text: str, step: int) -> DataFrame:
     """``(n, v)``: distinct tokens among the first ``n``, every ``step`` tokens and at the end.
 
-    Token places run over the documents in key order. Documents' offsets come from their token counts by ranges (a window over
-    one small row a range and one within each range), first places by a min over tokens, and only the count of new tokens per step
-    reaches the final running sum.
+    Token places run over the documents in key order. Documents' offsets come from their token counts by ranges (their sums on the
+    driver, a window within each range), first places by a min over tokens, and the new tokens per step are summed up within parts
+    that begin at the parts' sums before them.
     """
-    docs = cut_lineage(df.select(F.col(key).alias("k"), tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).repartitionByRange(64, "k"))
-    ranges = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.sum(F.size("t")).alias("c"))
-    ranges = ranges.withColumn("base", F.sum("c").over(Window.orderBy("lo")) - F.col("c"))
+    spark = df.sparkSession
+    docs = cut_lineage(df.select(F.col(key).alias("k"), tx.tokens(F.coalesce(F.col(text), F.lit(""))).alias("t")).repartitionByRange(parallelism(spark), "k"))
+    ranges = docs.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("lo"), F.sum(F.size("t")).alias("c")).collect()  # a row a partition
+    total, bases = 0, []
+    for r in sorted(ranges, key=lambda r: r["lo"]):
+        bases.append((r["p"], total))
+        total += r["c"]
     sized = docs.select("k", F.size("t").alias("c"), F.spark_partition_id().alias("p"))
-    offsets = sized.withColumn("inner", F.sum("c").over(Window.partitionBy("p").orderBy("k")) - F.col("c")).join(F.broadcast(ranges.select("p", "base")), "p").select("k", (F.col("base") + F.col("inner")).alias("offset"))  # 64 rows at most
+    inner = F.sum("c").over(Window.partitionBy("p").orderBy("k")) - F.col("c")
+    offsets = sized.withColumn("inner", inner).join(F.broadcast(spark.createDataFrame(bases, "p int, base bigint")), "p").select("k", (F.col("base") + F.col("inner")).alias("offset"))  # a row a partition
     first = docs.join(offsets, "k").select("offset", F.posexplode("t").alias("pos", "token")).groupBy("token").agg(F.min(F.col("offset") + F.col("pos") + 1).alias("place"))
-    total = ranges.agg(F.sum("c")).first()[0] or 0
-    new = first.groupBy(F.ceil(F.col("place") / step).cast("bigint").alias("s")).agg(F.count("*").alias("new"))
-    steps = df.sparkSession.range(1, (total + step - 1) // step + 1).withColumnRenamed("id", "s").join(new, "s", "left")
-    return steps.select(F.least(F.col("s") * step, F.lit(total)).cast("bigint").alias("n"), F.sum(F.coalesce("new", F.lit(0))).over(Window.orderBy("s")).cast("bigint").alias("v"))
+    steps = (total + step - 1) // step
+    wide = max(1, -(-steps // PARTS))  # steps of a part, within which they are summed up
+    new = cut_lineage(first.groupBy(F.ceil(F.col("place") / step).cast("bigint").alias("s")).agg(F.count("*").alias("new")))
+    sums = {r["part"]: r["n"] for r in new.groupBy(F.floor(F.col("s") / wide).alias("part")).agg(F.sum("new").alias("n")).collect()}  # `PARTS` rows
+    at, before = 0, []
+    for part in range(steps // wide + 1):
+        before.append((part, at))
+        at += sums.get(part, 0)
+    rows = spark.range(1, steps + 1).withColumnRenamed("id", "s").withColumn("part", F.floor(F.col("s") / wide)).join(new, "s", "left")
+    rows = rows.join(F.broadcast(spark.createDataFrame(before, "part bigint, before bigint")), "part", "left")
+    known = F.coalesce(F.sum("new").over(Window.partitionBy("part").orderBy("s")), F.lit(0)) + F.coalesce("before", F.lit(0))
+    return rows.select(F.least(F.col("s") * step, F.lit(total)).cast("bigint").alias("n"), known.cast("bigint").alias("v"))
 
 
 def heaps_fit(points: DataFrame) -> DataFrame:

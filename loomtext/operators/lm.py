@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +17,32 @@ def vocabulary(sentences: DataFrame, least: int = 2) -> DataFrame:
     return sentences.select(F.explode("words").alias("token")).groupBy("token").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
+LISTED = 1_000_000  # words of a vocabulary up to which it is sent to the executors; beyond, words are joined with it
+
+
 def in_vocabulary(sentences: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(sid, words)`` with words outside the vocabulary as ``<unk>``; a join on the word, back together by place."""
+    """``(sid, words)`` with words outside the vocabulary as ``<unk>``.
+
+    A vocabulary of at most ``LISTED`` words is looked up in Arrow batches, and nothing is shuffled; a larger one is joined on
+    the word, and the sentences are put back together by place.
+    """
+    known = cut_lineage(vocab.select("token"))
+    if known.limit(LISTED + 1).count() <= LISTED:
+        sent = sentences.sparkSession.sparkContext.broadcast([r["token"] for r in known.toLocalIterator()])
+
+        def run(batches):
+            listed = pa.array(sent.value, pa.string())
+            for batch in batches:
+                words = batch.column("words")
+                flat = words.flatten()
+                mapped = pc.if_else(pc.is_in(flat, value_set=listed), flat, pa.scalar("<unk>"))
+                ends = pa.array(np.asarray(words.offsets) - np.asarray(words.offsets)[0])
+                yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.ListArray.from_arrays(ends, mapped)], names=["sid", "words"])
+
+        kept = sentences.select("sid", "words")
+        return kept.mapInArrow(run, kept.schema)
     rows = sentences.select("sid", F.posexplode("words").alias("pos", "token"))
-    known = rows.join(vocab.select("token", F.col("token").alias("v")), "token", "left")
+    known = rows.join(known.withColumn("v", F.col("token")), "token", "left")
     back = known.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("v", F.lit("<unk>")).alias("w")))).alias("x"))
     return back.select("sid", F.col("x.w").alias("words"))
 

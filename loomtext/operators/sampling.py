@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtext.session import cut_lineage
 
@@ -51,10 +52,25 @@ def three_way(df: DataFrame, key: str, shares: tuple[float, float], seed: int) -
 
 
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int) -> DataFrame:
-    """``split``: train or validation, with ``round(n * share)`` rows of each label in the second, by hash order."""
-    order = Window.partitionBy(label).orderBy(hash_key(key, seed), key)
-    ranked = df.withColumn("__r", F.row_number().over(order)).join(df.groupBy(label).agg(F.count("*").alias("__n")), label)
-    return ranked.withColumn("split", F.when(F.col("__r") <= F.bround(F.col("__n") * share), "validation").otherwise("train")).drop("__r", "__n")
+    """``split``: train or validation, with ``round(n * share)`` rows of each label in the second, by hash order.
+
+    Counts by label and hash prefix (4,096 at most a label) say which prefixes are in; only a label's prefix at the border is ranked.
+    """
+    hashed = df.withColumn("__h", hash_key(key, seed)).withColumn("__p", F.left("__h", F.lit(3)))
+    by: dict = {}
+    for r in hashed.groupBy(label, "__p").count().collect():
+        by.setdefault(r[label], []).append((r["__p"], r["count"]))
+    plan = []
+    for name, sizes in by.items():
+        left = round(sum(n for _, n in sizes) * share)
+        for prefix, n in sorted(sizes):
+            plan.append((name, prefix, n if n <= left else left))
+            left -= min(n, left)
+    kinds = T.StructType([df.schema[label], T.StructField("__p", T.StringType()), T.StructField("__in", T.LongType())])
+    marked = hashed.alias("a").join(df.sparkSession.createDataFrame(plan, kinds).alias("b"), F.col(f"a.{label}").eqNullSafe(F.col(f"b.{label}")) & (F.col("a.__p") == F.col("b.__p"))).select("a.*", "b.__in")
+    order = Window.partitionBy(label, "__p").orderBy("__h", key)  # a 4,096th of a label
+    ranked = marked.withColumn("__r", F.row_number().over(order))
+    return ranked.withColumn("split", F.when(F.col("__r") <= F.col("__in"), "validation").otherwise("train")).drop("__h", "__p", "__in", "__r")
 
 
 def until(df: DataFrame, key: str, size: Column, target: int, seed: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import arrays as ar
+from loomtext.session import cut_lineage
 
 
 def term_document(tokens: DataFrame, key: str) -> DataFrame:
@@ -59,13 +63,55 @@ def phrases(sentences: DataFrame, least: int = 5, threshold: float = 100.0) -> D
     return j.select("a", "b", F.round(score, 6).alias("score")).filter(F.col("score") > threshold)
 
 
-def singular_values(td: DataFrame, key: str, k: int) -> list[float]:
-    """The largest singular values of a term-document table, by Spark's distributed matrix."""
-    from pyspark.mllib.linalg.distributed import CoordinateMatrix, MatrixEntry
+def singular_values(td: DataFrame, key: str, k: int, rounds: int = 12, more: int = 10) -> list[float]:
+    """The largest singular values of a term-document table, by subspace iteration.
 
-    rows = td.select(F.dense_rank().over(Window.orderBy(key)).alias("i"), F.dense_rank().over(Window.orderBy("token")).alias("j"), "tf")
-    matrix = CoordinateMatrix(rows.rdd.map(lambda r: MatrixEntry(r["i"] - 1, r["j"] - 1, float(r["tf"]))))
-    return list(matrix.toRowMatrix().computeSVD(k).s)
+    A document is one sparse row. Each round multiplies the rows with a basis over the terms (``k + more`` numbers a term, the
+    one thing that is sent) and adds the products up by term, combined in each task; the basis is made orthogonal on the driver.
+    """
+    spark = td.sparkSession
+    terms = cut_lineage(td.groupBy("token").agg(F.count("*").alias("n")))
+    names = sorted(r["token"] for r in terms.select("token").toLocalIterator())
+    width, size = min(k + more, len(names)), len(names)
+    if not size:
+        return []
+    listed = spark.sparkContext.broadcast(names)
+    rows = td.groupBy(key).agg(F.collect_list("token").alias("t"), F.collect_list(F.col("tf").cast("double")).alias("x")).select("t", "x")
+
+    def placed(batches):
+        known = pa.array(listed.value, pa.string())
+        for batch in batches:
+            t = batch.column("t")
+            at = pc.index_in(t.flatten(), value_set=known)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.asarray(t.offsets)), at), batch.column("x")], names=["t", "x"])
+
+    rows = cut_lineage(rows.mapInArrow(placed, "t array<int>, x array<double>"))
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((size, width)))[0]
+    values = np.zeros(width)
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(basis)
+
+        def product(batches, sent=sent):
+            total = np.zeros_like(sent.value)
+            for batch in batches:
+                t = batch.column("t")
+                owner = np.repeat(np.arange(len(t)), np.diff(np.asarray(t.offsets)))
+                at, x = t.flatten().to_numpy(), batch.column("x").flatten().to_numpy()
+                y = np.zeros((len(t), total.shape[1]))
+                np.add.at(y, owner, sent.value[at] * x[:, None])
+                np.add.at(total, at, y[owner] * x[:, None])
+            for a in range(0, len(total), 4096):
+                part = total[a : a + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([a // 4096], pa.int32()), pa.array([part.ravel().tolist()], pa.list_(pa.float64()))], names=["block", "part"])
+
+        parts = rows.mapInArrow(product, "block int, part array<double>").select("block", F.posexplode("part").alias("i", "v")).groupBy("block", "i").agg(F.sum("v").alias("v"))
+        new = np.zeros(size * width)
+        for r in parts.toLocalIterator():
+            new[r["block"] * 4096 * width + r["i"]] = r["v"]
+        basis, upper = np.linalg.qr(new.reshape(size, width))
+        values = np.sqrt(np.abs(np.linalg.svd(upper, compute_uv=False)))
+        sent.unpersist()
+    return values[:k].tolist()
 
 
 def usable(df: DataFrame, vec: str, length: int) -> DataFrame:
@@ -74,16 +120,26 @@ def usable(df: DataFrame, vec: str, length: int) -> DataFrame:
     return df.filter((F.size(v) == length) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x)) & F.exists(v, lambda x: x != 0))
 
 
+ASKED = 2048  # queries that are sent to the executors at a time
+
+
 def asked(queries: DataFrame, space: DataFrame, key: str, vec: str, top: int, measure: Column | None = None) -> DataFrame:
     """``(q, rank, key, similarity)``: a stated query set ``(q, qv)`` against all vectors.
 
-    The queries are one broadcast block (their number is stated, not grown with the data); every task keeps its best rows of a
-    query before anything is shuffled.
+    The queries are counted and sent in blocks of about ``ASKED``; every task keeps its best rows of a query before anything
+    is shuffled.
     """
+    queries = cut_lineage(queries)
+    blocks = -(-queries.count() // ASKED)
     sim = measure if measure is not None else ar.cosine(F.col("qv"), F.col(vec))
-    pairs = space.join(F.broadcast(queries), F.coalesce(F.col(key) != F.col("q"), F.lit(True))).select("q", key, F.round(sim, 6).alias("similarity"))
     order = Window.partitionBy("q").orderBy(F.desc("similarity"), key)
-    return pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("q", "rank", key, "similarity")
+    out = None
+    for b in range(max(blocks, 1)):
+        block = queries if blocks <= 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        pairs = space.join(F.broadcast(block), F.coalesce(F.col(key) != F.col("q"), F.lit(True))).select("q", key, F.round(sim, 6).alias("similarity"))
+        best = pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("q", "rank", key, "similarity")
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def analogies(questions: DataFrame, space: DataFrame, key: str, vec: str, top: int, unit: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ def tokens_sql(x: str) -> str:
 
 TOKENS = f"t as (select doc_id, unnest({tokens_sql('text')}) as token from documents), c as (select token, count(*) as n from t group by token)"
 #: Sentences of the language models: lines of documents.
-LINES = f"s0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as k from documents), s as (select doc_id, doc_id * 100000 + k as sid, {tokens_sql('line')} as words from s0 where len({tokens_sql('line')}) > 0)"
+LINES = f"s0 as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as k from documents), s as (select doc_id, doc_id || '-' || k as sid, {tokens_sql('line')} as words from s0 where len({tokens_sql('line')}) > 0)"
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     """``(doc_id, sid, words)``: the lines of documents that hold words."""
     rows = docs(spark, d).select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "line")).filter(F.col("line").rlike(r"[\p{L}\p{N}]"))
-    return rows.select("doc_id", (F.col("doc_id") * 100000 + F.col("k")).alias("sid"), tx.tokens(F.col("line")).alias("words")).filter(F.size("words") > 0)
+    return rows.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("sid"), tx.tokens(F.col("line")).alias("words")).filter(F.size("words") > 0)
 
 
 def lm_split(spark: SparkSession, d: str) -> DataFrame:
@@ -69,17 +69,17 @@ REVIEWS = (
 
 
 def legacy_sql(x: str) -> str:
-    """Stemmed words of a text."""
-    stop = "men sen o biz siz onlar ne kim hara niye nece hansi vaxt sonra eger heqiqeten lakin cunki bu ki butun ve ya veya amma yoxsa ancag sadece qisa uzun kicik boyuk ora bura sag sol salam bele cox az e bir her".split()
+    """Stemmed words of a text, tested against the stop words before and after."""
+    stop = ", ".join(repr(s) for s in tx.STOP_WORDS)
     low = f"lower(replace({x}, 'İ', 'i̇'))"
     plain = f"translate(replace(replace(replace({low}, 'ch', 'c'), 'sh', 's'), 'gh', 'g'), 'çəığöşü', 'ceigosu')"
     punct = r"""!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~"""
     clean = f"trim(regexp_replace(translate(replace({plain}, '-', ' '), '{punct}', ''), '{WHITE}+', ' ', 'g'))"
-    words = f"list_filter(string_split({clean}, ' '), lambda w: w <> '' and w not in ({', '.join(repr(s) for s in stop)}))"
+    words = f"list_filter(string_split({clean}, ' '), lambda w: w <> '' and w not in ({stop}))"
     suffixes = "[" + ", ".join(repr(s) for s in tx.SUFFIXES) + "]"
-    plain_word = f"regexp_replace(w, '[{tx.EMOJI}]', '', 'g')"
-    stem = f"list_reduce(list_prepend({plain_word}, {suffixes}), lambda acc, s: case when ends_with(acc, s) and length(acc) > length(s) then left(acc, length(acc) - length(s)) else acc end)"
-    return f"list_filter(flatten(list_transform({words}, lambda w: list_concat([{stem}], regexp_extract_all(w, '[{tx.EMOJI}]')))), lambda x: x <> '')"
+    stems = f"list_transform({words}, lambda w: list_reduce(list_prepend(w, {suffixes}), lambda acc, s: case when ends_with(acc, s) and length(acc) > length(s) then left(acc, length(acc) - length(s)) else acc end))"
+    bare = f"regexp_replace(v, '{tx.EMOJI_WORD}', '', 'g')"
+    return f"list_filter(flatten(list_transform({stems}, lambda v: list_concat([case when {bare} in ({stop}) then '' else {bare} end], list_distinct(regexp_extract_all(v, '{tx.EMOJI_WORD}'))))), lambda y: y <> '')"
 
 
 def review_tokens(spark: SparkSession, d: str) -> DataFrame:

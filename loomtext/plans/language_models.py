@@ -34,10 +34,10 @@ ALL = MAPPED + GRAMS
 
 
 def mapped(spark, d):
-    """Train and test sentences with rare words as ``<unk>``."""
+    """Train and test sentences with rare words as ``<unk>``; neither is computed before it is used."""
     rows = cut_lineage(lm_split(spark, d))
     vocab = lm.vocabulary(rows.filter("split = 'train'"))
-    return tuple(cut_lineage(lm.in_vocabulary(rows.filter(F.col("split") == s), vocab)) for s in ("train", "test"))
+    return tuple(lm.in_vocabulary(rows.filter(F.col("split") == s), vocab) for s in ("train", "test"))
 
 
 def train_counts(spark, d, n):

@@ -137,14 +137,13 @@ select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(tp / (tp + fp
 def boundary_metrics(spark, d):
     """The rule's stops against those before a capital or the end of the text."""
     rows = boundaries.words_around(boundaries.dots(short_docs(spark, d), "doc_id", "text"))
-    gold = rows.filter(F.col("right").rlike(r"^\s+\p{Lu}") | F.col("right").rlike(r"^\s*$")).select("doc_id", F.col("at").cast("bigint").alias("char_index"))
+    gold = rows.filter(F.col("right").rlike(r"^\s+\p{Lu}") | (F.col("at") + 1 >= F.col("end"))).select("doc_id", F.col("at").cast("bigint").alias("char_index"))
     return boundaries.boundary_metrics(ruled(spark, d).filter("eos = 1"), gold, "doc_id", "char_index")
 
 
 @query("labelled_pseudo_documents")
 def labelled_pseudo_documents(spark, d):
-    rows = segment_rows(spark, d).select((F.col("doc_id") * 1000 + F.col("sent_id")).alias("k"), "sentence")
-    made = boundaries.labelled_documents(rows, "k", 5)
+    made = boundaries.labelled_documents(segment_rows(spark, d), "doc_id", "sent_id", 5)
     return made.select("doc", "text", F.array_join(F.transform("gold", lambda x: x.cast("string")), " ").alias("gold"))
 
 
