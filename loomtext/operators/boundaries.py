@@ -30,9 +30,9 @@ def dots(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = blocks.select(key, "n", "end", F.explode(F.arrays_zip(F.col("blocks").alias("b"), F.slice(sums, 1, F.size("blocks")).alias("base"))).alias("x")).select(key, "n", "end", "x.b.*", "x.base")
     parts = F.split(F.substring(F.col("text"), F.col("before") + 1, F.lit(BLOCK)), r"\.")
     ends = F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<int>"), lambda acc, p: F.concat(acc, F.array(F.when(F.size(acc) > 0, F.try_element_at(acc, F.lit(-1)) + 1).otherwise(0) + F.length(p))))
-    found = rows.select(key, "n", "end", "start", "before", "base", "text", F.posexplode(ends).alias("k", "local"))
+    found = rows.select(key, "n", "end", "start", "before", "base", "text", F.posexplode(ends).alias("__k", "local"))
     place = F.col("before") + F.col("local")
-    return found.select(key, "n", "end", (F.col("start") + F.col("local")).alias("at"), (F.col("base") + F.col("k")).alias("dot_index"), F.substring(F.col("text"), F.greatest(place - PAD, F.lit(0)) + 1, F.least(place, F.lit(PAD)) + 1 + PAD).alias("text"), F.least(place, F.lit(PAD)).alias("p"))
+    return found.select(key, "n", "end", (F.col("start") + F.col("local")).alias("at"), (F.col("base") + F.col("__k")).alias("dot_index"), F.substring(F.col("text"), F.greatest(place - PAD, F.lit(0)) + 1, F.least(place, F.lit(PAD)) + 1 + PAD).alias("text"), F.least(place, F.lit(PAD)).alias("p"))
 
 
 def sign(at: Column) -> Column:

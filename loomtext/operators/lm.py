@@ -128,9 +128,35 @@ def models() -> list[tuple[str, int, str, Column]]:
     return out
 
 
-def evaluated(events: DataFrame, grid=None) -> DataFrame:
-    """``(method, order_n, params, events, zero_events, is_inf, perplexity)``: the whole grid in one aggregation, then unfolded."""
+def tuning_names() -> list[tuple[str, int, str]]:
+    """All parameters that are tried on the dev part; interpolation weights are the points of the simplex in steps of a tenth."""
+    tried = {"laplace": ("k", (0.01, 0.05, 0.1, 0.5, 1.0)), "backoff": ("d", (0.1, 0.3, 0.5, 0.75)), "kneser_ney": ("d", (0.5, 0.75, 1.0))}
+    out = [(method, o, f"{name}={v}") for o in (2, 3) for method, (name, values) in tried.items() for v in values]
+    two = [(10 - i, i) for i in range(11)]
+    three = [(10 - i - j, j, i) for i in range(11) for j in range(11 - i)]
+    return out + [("interpolation", len(point), "l=" + "/".join(str(t / 10) for t in point)) for point in two + three]
+
+
+def tuning_models() -> list[tuple[str, int, str, Column]]:
+    def probability(method: str, order: int, params: str) -> Column:
+        values = [float(x) for x in params.partition("=")[2].split("/")]
+        if method == "interpolation":
+            return interpolation(order, tuple(values))
+        return {"laplace": laplace, "backoff": backoff, "kneser_ney": kneser_ney}[method](order, values[0])
+
+    return [(*name, probability(*name)) for name in tuning_names()]
+
+
+def evaluated(events: DataFrame, grid=None, at_once: int = 24) -> DataFrame:
+    """``(method, order_n, params, events, zero_events, is_inf, perplexity)``: ``at_once`` models in one aggregation, then unfolded."""
     grid = grid or models()
+    if len(grid) > at_once:
+        events = cut_lineage(events)
+        parts = [evaluated(events, grid[i : i + at_once], at_once) for i in range(0, len(grid), at_once)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
     sums = []
     for i, (_, _, _, p) in enumerate(grid):
         sums += [F.sum(F.when(p > 0, F.ln(p) * F.col("times")).otherwise(0.0)).alias(f"l{i}"), F.sum(F.when(p > 0, 0).otherwise(F.col("times"))).alias(f"z{i}")]
@@ -140,20 +166,64 @@ def evaluated(events: DataFrame, grid=None) -> DataFrame:
     return out.select("method", "order_n", "params", "events", "zero_events", (F.col("zero_events") > 0).alias("is_inf"), F.when(F.col("zero_events") == 0, F.round(F.exp(-F.col("l") / F.col("events")), 4)).alias("perplexity"))
 
 
-def ranking(scores: DataFrame) -> DataFrame:
-    """The best parameters of each method and order, ranked within the order; infinite perplexities come last."""
-    best = Window.partitionBy("order_n", "method").orderBy(F.col("is_inf"), F.col("perplexity").asc_nulls_last(), "params")
-    top = scores.withColumn("r", F.row_number().over(best)).filter("r = 1")
-    order = Window.partitionBy("order_n").orderBy(F.col("is_inf"), F.col("perplexity").asc_nulls_last(), "method")
-    return top.withColumn("rank", F.row_number().over(order).cast("bigint")).select("order_n", "rank", "method", "params", "perplexity")
+def dev_split(sentences: DataFrame, key: str, share: float = 0.1, seed: int = 43) -> DataFrame:
+    """``split``: test for the dev part (``max(1, round(n * share))`` sentences by hash order, never all of them), else train."""
+    from loomtext.operators.sampling import first_by_hash
+
+    n = sentences.count()
+    return first_by_hash(sentences, key, min(max(1, round(n * share)), n - 1), seed).withColumn("split", F.when(F.col("taken"), "test").otherwise("train")).drop("taken")
+
+
+COMPLEXITY = {"laplace": 1, "interpolation": 2, "backoff": 3, "kneser_ney": 4}
+
+
+def selected(dev: DataFrame) -> DataFrame:
+    """The best parameters of each method and order on the dev part."""
+    best = Window.partitionBy("order_n", "method").orderBy(F.col("is_inf"), F.col("perplexity").asc_nulls_last(), "zero_events", "params")
+    return dev.withColumn("r", F.row_number().over(best)).filter("r = 1").select("order_n", "method", "params", F.col("perplexity").alias("dev_perplexity"))
+
+
+def ranking(chosen: DataFrame) -> DataFrame:
+    """``chosen`` (with ``test_perplexity``; null is infinite) ranked within the order; ties by dev perplexity, then by the simpler method."""
+    simple = F.create_map(*[F.lit(x) for kv in COMPLEXITY.items() for x in kv])[F.col("method")]
+    order = Window.partitionBy("order_n").orderBy(F.col("test_perplexity").asc_nulls_last(), F.col("dev_perplexity").asc_nulls_last(), simple)
+    return chosen.withColumn("rank", F.row_number().over(order).cast("bigint")).select("order_n", "rank", "method", "params", "dev_perplexity", "test_perplexity")
 
 
 def winner(ranked: DataFrame, tie: float = 0.005) -> DataFrame:
-    """The best method of each order, with the runner-up and whether they lie within ``tie`` of each other."""
-    w = Window.partitionBy("order_n").orderBy("rank")
-    both = ranked.withColumn("second", F.lead("method").over(w)).withColumn("second_perplexity", F.lead("perplexity").over(w)).filter("rank = 1")
-    near = F.coalesce((F.col("second_perplexity") - F.col("perplexity")) / F.col("perplexity") <= tie, F.lit(False))
-    return both.select("order_n", F.col("method").alias("winner"), "second", near.alias("is_tie"))
+    """The best method of each order; within ``tie`` of the second, dev perplexity decides, then the simpler method."""
+    simple = F.create_map(*[F.lit(x) for kv in COMPLEXITY.items() for x in kv])
+    two = ranked.filter("rank <= 2").groupBy("order_n").agg(*[F.max(F.when(F.col("rank") == r, F.col(c))).alias(f"{c}{r}") for r in (1, 2) for c in ("method", "dev_perplexity", "test_perplexity")])
+    near = F.coalesce(F.abs(F.col("test_perplexity2") - F.col("test_perplexity1")) / F.greatest("test_perplexity1", F.lit(1e-12)) < tie, F.lit(False))
+    other = near & F.coalesce((F.col("dev_perplexity2") < F.col("dev_perplexity1")) | ((F.col("dev_perplexity2") == F.col("dev_perplexity1")) & (simple[F.col("method2")] < simple[F.col("method1")])), F.lit(False))
+    return two.select("order_n", F.when(other, F.col("method2")).otherwise(F.col("method1")).alias("winner"), F.when(other, F.col("method1")).otherwise(F.col("method2")).alias("second"), near.alias("is_tie"))
+
+
+def followers(train: DataFrame, width: int, top: int) -> DataFrame:
+    """``(h, items)``: the ``top`` commonest followers ``(c, w)`` of every ``width`` words; no boundary signs. Width 0: of nothing."""
+    n = F.size("words") - width
+    at = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.array_join(F.slice("words", i, width), ar.GLUE).alias("h"), F.element_at("words", i + width).alias("w")))
+    c = train.filter(n > 0).select(F.inline(at)).groupBy("h", "w").agg(F.count("*").alias("c"))
+    order = Window.partitionBy("h").orderBy(F.desc("c"), "w")
+    if not width:  # one history: the top comes before the window
+        c = c.orderBy(F.desc("c"), "w").limit(top)
+    ranked = c.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
+    return ranked.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("rank", "w", "c"))).alias("items"))
+
+
+def suggestions(contexts: DataFrame, train: DataFrame, key: str, top: int = 3) -> DataFrame:
+    """``(key, order_n, is_fallback, rank, w, c)``: followers of the last words of ``contexts.words``, longer histories falling back to shorter ones."""
+    one, two, three = (followers(train, width, top).withColumnRenamed("items", f"i{width}") for width in (0, 1, 2))
+    last = lambda n: F.when(F.size("words") >= n, F.array_join(F.slice("words", -n, n), ar.GLUE))
+    rows = contexts.filter(F.size("words") > 0).select(key, last(1).alias("h1"), last(2).alias("h2"))
+    rows = rows.join(two.withColumnRenamed("h", "h1"), "h1", "left").join(three.withColumnRenamed("h", "h2"), "h2", "left").join(F.broadcast(one.select("i0")))  # one row
+    second = F.coalesce("i1", "i0")
+    kinds = F.array(
+        F.struct(F.lit(1).cast("bigint").alias("order_n"), F.lit(False).alias("is_fallback"), F.col("i0").alias("items")),
+        F.struct(F.lit(2).cast("bigint").alias("order_n"), F.col("i1").isNull().alias("is_fallback"), second.alias("items")),
+        F.struct(F.lit(3).cast("bigint").alias("order_n"), (F.col("h2").isNotNull() & F.col("i2").isNull()).alias("is_fallback"), F.coalesce(F.col("i2"), second).alias("items")),
+    )
+    return rows.select(key, F.inline(kinds)).select(key, "order_n", "is_fallback", F.inline("items"))
 
 
 def next_words(train: DataFrame, top: int) -> DataFrame:

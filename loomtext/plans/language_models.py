@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import udfs
 from loomtext.functions.arrays import GLUE
 from loomtext.operators import lm, spelling
-from loomtext.plans.common import LINES, SPLIT, TOKENS, counts, lm_split
+from loomtext.plans.common import LINES, SPLIT, TOKENS, counts, docs, lm_split, sentences
 from loomtext.session import cut_lineage, parallelism
 
 QUERIES, SQL = {}, {}
@@ -87,22 +87,74 @@ def sql_probability(method, order, params):
 
 GRID = " union all ".join(f"select '{m}' as method, {o}::bigint as order_n, '{s}' as params, {sql_probability(m, o, s)} as p from ev" for m, o, s, _ in ([] if F is None else [("mle", o, "", 0) for o in (1, 2, 3)] + [(m, o, f"{n}={v}", 0) for o in (2, 3) for m, n, vs in (("laplace", "k", (0.01, 0.1, 1.0)), ("backoff", "d", (0.5, 0.75)), ("kneser_ney", "d", (0.5, 0.75))) for v in vs] + [("interpolation", 2, "l=0.3/0.7", 0), ("interpolation", 2, "l=0.5/0.5", 0), ("interpolation", 3, "l=0.3/0.4/0.3", 0), ("interpolation", 3, "l=0.1/0.3/0.6", 0)]))
 SCORES = f"{EVENTS}, gr as ({GRID}), sc as (select method, order_n, params, count(*) as events, count_if(p <= 0)::bigint as zero_events, count_if(p <= 0) > 0 as is_inf, case when count_if(p <= 0) = 0 then round(exp(-sum(case when p > 0 then ln(p) end) / count(*)), 4) end as perplexity from gr group by method, order_n, params)"
-RANKED = "tp as (select * from sc qualify row_number() over (partition by order_n, method order by is_inf, perplexity nulls last, params) = 1), rk as (select order_n, row_number() over (partition by order_n order by is_inf, perplexity nulls last, method) as rank, method, params, perplexity from tp)"
-
-
 def scores(spark, d):
     return cut_lineage(lm.evaluated(lm.event_table(*mapped(spark, d))))
 
 
 query("lm_grid", f"with {SCORES} select * from sc")(scores)
-query("lm_ranking", f"with {SCORES}, {RANKED} select * from rk")(lambda spark, d: lm.ranking(scores(spark, d)))
-query("lm_winner", f"with {SCORES}, {RANKED} select a.order_n, a.method as winner, b.method as second, coalesce((b.perplexity - a.perplexity) / a.perplexity <= 0.005, false) as is_tie from rk a left join rk b on a.order_n = b.order_n and b.rank = 2 where a.rank = 1")(lambda spark, d: lm.winner(lm.ranking(scores(spark, d))))
+# ---- parameters are chosen on a dev part of the train sentences, methods are compared on the test part
+DEV = MAPPED.replace("ms as (", "m0 as (") + """, dz as (select sid, words, row_number() over (order by md5(sid || '-43'), sid) as r, count(*) over () as n from m0 where split = 'train'),
+dc as (select sid, words, case when r <= least(greatest(1, round_even(n * 0.1, 0)), n - 1) then 'test' else 'train' end as split from dz), cv as (select distinct unnest(words) as token from dc where split = 'train'),
+dx as (select sid, split, unnest(words) as token, generate_subscripts(words, 1) as k from dc), ms as (select sid, split, list(coalesce(cv.token, '<unk>') order by k) as words from dx left join cv using (token) group by sid, split)"""
+TRIED = " union all ".join(f"select '{m}' as method, {o}::bigint as order_n, '{s}' as params, {sql_probability(m, o, s)} as p from ev" for m, o, s in lm.tuning_names())
+SCORED = "sc as (select method, order_n, params, count(*) as events, count_if(p <= 0)::bigint as zero_events, count_if(p <= 0) > 0 as is_inf, case when count_if(p <= 0) = 0 then round(exp(-sum(case when p > 0 then ln(p) end) / count(*)), 4) end as perplexity from gr group by method, order_n, params)"
+TUNED = f"with {EVENTS.replace(MAPPED, DEV)}, gr as ({TRIED}), {SCORED} select * from sc"
+TESTED = f"with {EVENTS}, gr as ({TRIED}), {SCORED} select * from sc"
+CHOSEN = f"ch as (select order_n, method, params, perplexity as dev_perplexity from ({TUNED}) qualify row_number() over (partition by order_n, method order by is_inf, perplexity nulls last, zero_events, params) = 1), ts as ({TESTED}), se as (select ch.*, ts.perplexity as test_perplexity from ch join ts using (order_n, method, params))"
+SIMPLE = "case {0} when 'laplace' then 1 when 'interpolation' then 2 when 'backoff' then 3 else 4 end"
+RANKED = f"{CHOSEN}, rk as (select order_n, row_number() over (partition by order_n order by test_perplexity nulls last, dev_perplexity nulls last, {SIMPLE.format('method')}) as rank, method, params, dev_perplexity, test_perplexity from se)"
+
+
+def tuned(spark, d):
+    """Scores of all parameters on the dev part; its words that the rest of the train part has not are ``<unk>``."""
+    train = cut_lineage(mapped(spark, d)[0])
+    parts = cut_lineage(lm.dev_split(train, "sid"))
+    core, dev = (parts.filter(F.col("split") == s).select("sid", "words") for s in ("train", "test"))
+    dev = lm.in_vocabulary(dev, lm.vocabulary(core, 1))
+    return cut_lineage(lm.evaluated(lm.event_table(core, dev), lm.tuning_models()))
+
+
+def chosen(spark, d):
+    """The best parameters of each method and order with their perplexity on the test part."""
+    best = cut_lineage(lm.selected(tuned(spark, d)))
+    names = {(r["method"], r["order_n"], r["params"]) for r in best.collect()}  # a row a method and order
+    grid = [m for m in lm.tuning_models() if m[:3] in names]
+    tested = lm.evaluated(lm.event_table(*mapped(spark, d)), grid)
+    return cut_lineage(best.join(tested.select("order_n", "method", "params", F.col("perplexity").alias("test_perplexity")), ["order_n", "method", "params"]))
+
+
+query("lm_tuning", TUNED)(tuned)
+query("lm_ranking", f"with {RANKED} select * from rk")(lambda spark, d: lm.ranking(chosen(spark, d)))
+query(
+    "lm_winner",
+    f"""with {RANKED}, tw as (select a.order_n, a.method as m1, b.method as m2, coalesce(abs(b.test_perplexity - a.test_perplexity) / greatest(a.test_perplexity, 1e-12) < 0.005, false) as near, a.dev_perplexity as d1, b.dev_perplexity as d2 from rk a left join rk b on a.order_n = b.order_n and b.rank = 2 where a.rank = 1),
+ot as (select *, near and coalesce(d2 < d1 or (d2 = d1 and {SIMPLE.format('m2')} < {SIMPLE.format('m1')}), false) as other from tw) select order_n, case when other then m2 else m1 end as winner, case when other then m1 else m2 end as second, near as is_tie from ot""",
+)(lambda spark, d: lm.winner(lm.ranking(chosen(spark, d))))
+
+
+def last_lines(spark, d):
+    """The last sentence of each document."""
+    lines = sentences(spark, d).select("doc_id", F.substring_index("sid", "-", -1).cast("int").alias("k"), "words")
+    return lines.groupBy("doc_id").agg(F.max_by("words", "k").alias("words"))
+
+
+FOLLOW = ", ".join(f"f{w} as (select h, w, c, row_number() over (partition by h order by c desc, w) as rank from (select h, w, count(*) as c from (select unnest(list_transform(generate_series(1, len(words) - {w}), lambda i: {{'h': array_to_string(words[i:i + {w - 1}], {G}), 'w': words[i + {w}]}}), recursive := true) from tn where len(words) > {w}) group by h, w) qualify rank <= 3)" for w in (0, 1, 2))
+query(
+    "next_words_fallback",
+    f"""with {LINES}, {SPLIT}, tn as (select words from s join sp using (doc_id) where split = 'train'), {FOLLOW}, la as (select doc_id, max_by(words, regexp_extract(sid, '-([0-9]+)$', 1)::int) as words from s group by doc_id),
+x as (select doc_id, words[-1] as h1, case when len(words) >= 2 then array_to_string(words[-2:], {G}) end as h2 from la), y as (select *, exists (select 1 from f1 where f1.h = h1) as has1, h2 is not null and exists (select 1 from f2 where f2.h = h2) as has2 from x)
+select doc_id, 1::bigint as order_n, false as is_fallback, rank, w, c from y, f0 union all select doc_id, 2, false, rank, w, c from y join f1 on f1.h = h1 union all select doc_id, 2, true, rank, w, c from y, f0 where not has1
+union all select doc_id, 3, false, rank, w, c from y join f2 on f2.h = h2 union all select doc_id, 3, h2 is not null, rank, w, c from y join f1 on f1.h = h1 where not has2 union all select doc_id, 3, h2 is not null, rank, w, c from y, f0 where not has2 and not has1""",
+)(lambda spark, d: lm.suggestions(last_lines(spark, d), lm_split(spark, d).filter("split = 'train'"), "doc_id"))
+query("typing_help", r"select doc_id, case when regexp_matches(text, '\s$') then 'next_word' when length(w) < 3 then 'nothing' when length(w) <= 4 then 'spell_1' else 'spell_2' end as help from (select doc_id, text, regexp_extract(text, '[\p{L}\p{N}_''’\-]+$') as w from documents where text is not null)")(
+    lambda spark, d: docs(spark, d).filter("text is not null").select("doc_id", lm.typing_help(F.col("text")).alias("help"))
+)
 query("next_words", f"with {LINES}, n as (select unnest(list_transform(generate_series(1, len(words) - 1), lambda i: {{'h': words[i], 'w': words[i + 1]}}), recursive := true) from s), c as (select h, w, count(*) as c from n group by h, w) select h, w, c, row_number() over (partition by h order by c desc, w) as rank from c qualify rank <= 3")(lambda spark, d: lm.next_words(lm_split(spark, d), 3))
-KN = f"""{ALL}, b as (select * from g2 where w <> '</s>'), t2 as (select h, sum(c) as n, count(*) as t from b group by h), co as (select w, count(*) as cont from b group by w), po as (select w from co order by cont desc, w limit 256),
+KN = f"""with {ALL}, b as (select * from g2 where w <> '</s>'), t2 as (select h, sum(c) as n, count(*) as t from b group by h), co as (select w, count(*) as cont from b group by w), po as (select w from co order by cont desc, w limit 256),
 ca as (select h, w from b union select h, w from t2, po), pr as (select ca.h, ca.w, greatest(coalesce(b.c, 0) - 0.75, 0) / n + 0.75 * t / n * coalesce(cont, 0) / (select count(*) from b) as p from ca join t2 on t2.h = ca.h left join b on b.h = ca.h and b.w = ca.w left join co on co.w = ca.w)
 select h, row_number() over (partition by h order by round(p, 12) desc, w) as rank, w, round(p, 8) as p from pr qualify rank <= 3"""
-query("next_words_kn")(lambda spark, d: lm.next_words_kn(mapped(spark, d)[0], 3))
-query("next_words_kn_head", f"select h, p from (with {KN}) where rank = 1")(lambda spark, d: lm.next_words_kn(mapped(spark, d)[0], 3).filter("rank = 1").select("h", "p"))
+query("next_words_kn", KN)(lambda spark, d: lm.next_words_kn(mapped(spark, d)[0], 3))
+query("next_words_kn_head", f"select h, p from ({KN}) where rank = 1")(lambda spark, d: lm.next_words_kn(mapped(spark, d)[0], 3).filter("rank = 1").select("h", "p"))
 
 # ---- spelling
 ASKED = f"{TOKENS}, v as (select token, n from c where n >= 2 and length(token) >= 3 and regexp_full_match(token, '[a-zçəığöşüâ]+')), a as (select token as word from v where n between 10 and 20 and md5(token || '-1') < '4')"
