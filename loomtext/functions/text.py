@@ -75,6 +75,45 @@ def sentence_text(text: Column) -> Column:
     return collapsed(F.regexp_replace(out, r"(?U)\(\s*;\s*\)", " "))
 
 
+def segmenter_text(text: Column) -> Column:
+    """Lines that begin with a marker word removed, the category label anywhere."""
+    return F.regexp_replace(F.regexp_replace(text, MARKER_LINE_SPACED, " "), r"(?iu)\bkateqoriya\b\s*:\s*", " ")
+
+
+def wikitext_plain(text: Column, depth: int = 4) -> Column:
+    """Markup to plain text: templates (nested up to ``depth``), tags and emphasis with what they hold, links to files and categories removed; of other links the label stays."""
+    t = text
+    for _ in range(depth):
+        t = F.regexp_replace(t, r"\{\{[^{}]*\}\}", "")
+    t = F.regexp_replace(t, r"<[A-Za-z][^<>]*/>", "")
+    for _ in range(depth):
+        t = F.regexp_replace(t, r"<[A-Za-z][^<>]*>[^<]*</[A-Za-z]+>", "")
+    t = F.regexp_replace(t, r"<[^<>]*>", "")
+    t = F.regexp_replace(t, r"'{2,5}[^'\n]+'{2,5}", "")
+    t = F.regexp_replace(t, r"(?iu)\[\[(?:Kateqoriya|Fayl|File):[^\]]+\]\]", " ")
+    t = F.regexp_replace(t, r"\[\[(?:[^|\]]*\|)?([^\]]*)\]\]", "$1")
+    t = F.regexp_replace(t, r"\[https?://[^ \]]+ ([^\]]*)\]", "$1")
+    return collapsed(t)
+
+
+def wikitext_page(text: Column) -> Column:
+    """What ``wikitext_plain`` leaves, cleaned like any page."""
+    return cleaned_page(wikitext_plain(text))
+
+
+def without_lines_in(text: Column, words: dict[str, list[str]], lang: str = "en", share: float = 0.7) -> Column:
+    """Lines dropped whose function words are of one language: more than ``share`` of those of any language, and two at least."""
+    every = sorted({w for v in words.values() for w in v})
+    own = sorted(words.get(lang, []))
+
+    def keeps(line: Column) -> Column:
+        found = F.regexp_extract_all(F.lower(line), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
+        hits = lambda listed: F.size(F.filter(found, lambda w: w.isin(*listed)))
+        return (hits(own) < 2) | (hits(own) <= share * hits(every)) if own else F.lit(True)
+
+    return F.array_join(F.filter(F.split(text, r"\n"), keeps), "\n")
+
+
 def page_url(title: Column, base: str = "https://az.wikipedia.org/wiki/") -> Column:
     return F.concat(F.lit(base), F.replace(title, F.lit(" "), F.lit("_")))
 

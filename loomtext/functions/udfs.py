@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -13,6 +14,7 @@ STRINGS = T.ArrayType(T.StringType())
 EDITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("op", "a", "b")]))
 VARIANTS = T.ArrayType(T.StructType([T.StructField("variant", T.StringType()), T.StructField("edits", T.IntegerType())]))
 SPANS = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+# Opening and closing marks.
 QUOTES_OPEN = frozenset("\"'“«‹„‘‚「『（([{")
 QUOTES_CLOSE = frozenset("\"'”»›‟’‛」』）)]}")
 # Abbreviations that end no sentence.
@@ -66,6 +68,34 @@ def segments(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else segmented(t))
 
 
+# Marks that belong to the sentence before them.
+TRAILING = "\"'”»›)]}’"
+SPLIT_AT = T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("boundary", T.IntegerType())]))
+
+
+def sentences_at(text: str, ends: set[int]) -> list[dict]:
+    """Sentences that end at the given stops or at ``!`` and ``?``, closing marks included; the rest has no boundary."""
+    out, start, i = [], 0, 0
+    for m in re.finditer(r"[.!?]", text):
+        i = m.start()
+        if i < start or m.group() == "." and i not in ends:
+            continue
+        stop = i + 1
+        while stop < len(text) and text[stop] in TRAILING:
+            stop += 1
+        if sentence := text[start:stop].strip():
+            out.append({"sentence": sentence, "boundary": i})
+        start = stop
+    if tail := text[start:].strip():
+        out.append({"sentence": tail, "boundary": None})
+    return out
+
+
+@F.pandas_udf(SPLIT_AT)
+def split_at(texts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else sentences_at(t, set(e)) for t, e in zip(texts, ends, strict=True)])
+
+
 def weighted_distance(a: str, b: str, costs: dict, most: float) -> float:
     """Edit distance with costs by operation; borders cost 1 a sign, and the longer word goes first."""
     if len(b) > len(a):

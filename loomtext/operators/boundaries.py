@@ -117,6 +117,20 @@ def labelled_documents(sentences: DataFrame, group: str, order: str, size: int)
     return texts.select("doc", F.array_join("s", " ").alias("text"), ends.alias("gold"))
 
 
+def invalid_labels(labels: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, char_index, fault)``: labels whose document is missing, whose place lies outside it, or at whose place no stop stands."""
+    found = labels.join(texts.select(key, F.col(text).alias("__t"), F.lit(True).alias("__known")), key, "left")
+    at = F.col("char_index")
+    fault = F.when(F.col("__known").isNull(), "no document").when((at < 0) | (at >= F.coalesce(F.length("__t"), F.lit(0))), "outside").when(F.substring(F.col("__t"), at.cast("int") + 1, F.lit(1)) != ".", "no stop")
+    return found.withColumn("fault", fault).filter("fault is not null").select(key, "char_index", "fault")
+
+
+def by_document(labels: DataFrame, key: str) -> DataFrame:
+    """``(key, labels)``: the labels of each document in order of their place."""
+    rest = [c for c in labels.columns if c not in (key, "char_index")]
+    return labels.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("char_index", *rest))).alias("labels"))
+
+
 def boundary_metrics(found: DataFrame, gold: DataFrame, key: str, place: str) -> DataFrame:
     """Precision, recall, F1 and error rate of boundary sets, over all documents; two empty sets agree."""
     both = found.select(key, place, F.lit(1).alias("f")).distinct().join(gold.select(key, place, F.lit(1).alias("g")).distinct(), [key, place], "full_outer")
