@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from loomtext.session import cut_lineage
 
 CAPACITY = 2048
-SALTS = 64
+SALTED = 100_000  # items of one length that are ranked in one task
 BLOCK = 4096
 
 
@@ -95,13 +95,15 @@ def parts(df: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.inline(F.coalesce(cut, whole)))
 
 
-def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(df: DataFrame, key: str, size: str, capacity: int = CAPACITY, salted: int = SALTED) -> DataFrame:
     """``(key, part, n, container)`` for every part of every item; ``df`` is read twice, so its sizes are written once first."""
     spark = df.sparkSession
-    items = cut_lineage(parts(df, key, size, capacity)).withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(salts)).cast("int"))
+    items = cut_lineage(parts(df, key, size, capacity))
+    histogram = {r["n"]: r["c"] for r in items.filter("n > 0").groupBy("n").agg(F.count("*").alias("c")).collect()}  # at most `capacity` rows
+    salts = max(1, -(-max(histogram.values(), default=1) // salted))  # as many as the commonest length needs
+    items = items.withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(salts)).cast("int"))
     counts = items.filter("n > 0").groupBy("n", "salt").agg(F.count("*").alias("c"))
     offsets = cut_lineage(counts.withColumn("offset", F.sum("c").over(Window.partitionBy("n").orderBy("salt")) - F.col("c")))
-    histogram = {r["n"]: r["c"] for r in offsets.groupBy("n").agg(F.sum("c").alias("c")).collect()}  # at most `capacity` rows
     rows = best_fit(histogram, capacity)
     plan = spark.createDataFrame(rows, "n bigint, first_rank bigint, per bigint, containers bigint, first_container bigint")
     last_rank = F.col("first_rank") + F.col("per") * F.col("containers") - 1

@@ -279,7 +279,7 @@ def distances(df: DataFrame, model: Model) -> DataFrame:
             total = each.sum(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total), pa.array(each.tolist(), pa.list_(pa.float64())), pa.array(total > most)], names=[*names, "distance", "contributions", "is_junk"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *T._parse_datatype_string("distance double, contributions array<double>, is_junk boolean").fields]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("distance", T.DoubleType()), T.StructField("contributions", T.ArrayType(T.DoubleType())), T.StructField("is_junk", T.BooleanType())]))
 
 
 def rate(df: DataFrame, key: str, text: str, common_words: dict[str, list[str]]) -> DataFrame:

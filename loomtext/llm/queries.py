@@ -201,6 +201,11 @@ def p8_roundtrip(spark, d):
     return back.select("doc_id", "n_ids", (F.col("text") == F.coalesce(F.col("original"), F.lit(""))).alias("is_exact"))
 
 
+def p8_exact(spark, d):
+    """Whether every document's ids decode to its text."""
+    return p8_roundtrip(spark, d).select("doc_id", "is_exact")
+
+
 # ---- 9: packing
 def document_sizes(spark, d):
     return tokens.count_tokens(spread(table(spark, d, "documents").select("doc_id", "text")))
@@ -218,6 +223,11 @@ def p9_fill(spark, d):
     return by.agg(F.count("*").alias("containers"), F.ceil(F.sum("used") / packing.CAPACITY).alias("least"), F.max("used").alias("fullest"), F.sum("parts").alias("parts"), (F.sum("used") / (F.count("*") * packing.CAPACITY)).alias("share_used"))
 
 
+def p9_bounds(spark, d):
+    """Whether no container is over its capacity, and whether there is no container more than the sizes need at the least."""
+    return p9_fill(spark, d).select((F.col("containers") == F.col("least")).alias("is_least"), (F.col("fullest") <= packing.CAPACITY).alias("none_over"))
+
+
 # ---- 10: encodings
 def garbled_source(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text", "source"))

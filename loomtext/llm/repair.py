@@ -54,17 +54,16 @@ CHAINS = (
     ("cp437", "utf-8"),
     ("koi8_r", "utf-8"),
 )
-COMMON = 6  # of the chains, the common ones from utf-8
 LOST = len(CHAINS)  # the chain of lost characters
 KINDS = LOST + 1
 CODES = 2048  # classes of characters in the bigram model
 SINGLE = 0x2600  # code points counted one by one; the encodings' characters lie below, but for a private sign
-ROUNDS = 5
+ROUNDS = 20  # at most
+SETTLED = 1e-6  # change of a chain's share over all records from which on EM goes on
 ALPHA = 20.0  # records of its source's prior that the prior over all sources is worth
 START = 0.002  # share of records that a chain is taken to have spoilt, before any evidence
 MEMO = 100_000  # spans that a worker keeps the outcome of
 VALID = 1.5  # gain of each sign that a valid sequence takes up: other text is valid utf-8 by chance at most
-CERTAIN = 60.0  # gain (nats) from which a chain from utf-8 is beyond doubt
 LEAST = 3.0  # gain (nats) from which a span counts
 RARE = 1e-5  # share of all characters under which one is rare in clean text
 
@@ -189,15 +188,9 @@ LOST_MARK = re.compile(r"\?+[^\W\dA-ZА-Я_]")  # starts with a literal: a quick
 
 
 def evidence(text: str, model: Model) -> np.ndarray:
-    """The gain in nats of each chain over the text as it stands.
-
-    The common chains from utf-8 come first; where one of them is certain, the others, which would read the same signs as
-    letters of some one-byte encoding, are not weighed.
-    """
+    """The gain in nats of each chain over the text as it stands."""
     out = np.zeros(KINDS)
     for chain in range(LOST):
-        if chain == COMMON and out.max() > CERTAIN:
-            break
         if model.rare_in[chain](text):
             out[chain] = sum(gain for *_, gain in restored(chain, text, model))
     out[LOST] = 50.0 * len(LOST_SIGN.findall(text))
@@ -313,9 +306,10 @@ def summed(scored: DataFrame) -> DataFrame:
 def estimate(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``(source, prior)`` after EM: the share of each chain and (last) of clean text; ``totals`` counts all records by source.
 
-    Each round sums posteriors by source and draws small sources to the mean of all.
+    Each round sums posteriors by source and draws small sources to the mean of all, until the shares change no more.
     """
     priors = totals.withColumn("prior", F.array(*[F.lit(START / KINDS)] * KINDS, F.lit(1 - START)))
+    before = [START / KINDS] * KINDS
     for _ in range(rounds):
         sums = summed(found.join(priors.select("source", "prior"), "source"))
         sums = cut_lineage(totals.join(sums, "source", "left").na.fill(0.0))
@@ -325,6 +319,9 @@ def estimate(found: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataF
         shares = [(F.col(f"s{k}") + ALPHA * mean[k]) / (F.col("n") + ALPHA) for k in range(KINDS)]
         clean = F.greatest(F.lit(1e-6), 1 - sum(shares[1:], shares[0]))
         priors = sums.select("source", "n", F.array(*shares, clean).alias("prior"))
+        if max(abs(a - b) for a, b in zip(mean, before, strict=True)) <= SETTLED:
+            break
+        before = mean
     return priors.select("source", "prior")
 
 

