@@ -137,26 +137,26 @@ def tuning_names() -> list[tuple[str, int, str]]:
     return out + [("interpolation", len(point), "l=" + "/".join(str(t / 10) for t in point)) for point in two + three]
 
 
-def tuning_models() -> list[tuple[str, int, str, Column]]:
-    def probability(method: str, order: int, params: str) -> Column:
+def evaluated_names(events: DataFrame, names: list[tuple[str, int, str]]) -> DataFrame:
+    """As ``evaluated``, for many parameters of few methods: they are columns beside each event, so that the plan does not grow with them."""
+
+    def row(method: str, order: int, params: str):
         values = [float(x) for x in params.partition("=")[2].split("/")]
-        if method == "interpolation":
-            return interpolation(order, tuple(values))
-        return {"laplace": laplace, "backoff": backoff, "kneser_ney": kneser_ney}[method](order, values[0])
+        weights = [v / sum(values) for v in values] + [0.0] * (3 - len(values))
+        return F.struct(F.lit(method).alias("method"), F.lit(order).cast("bigint").alias("order_n"), F.lit(params).alias("params"), F.lit(values[0]).alias("x"), *[F.lit(w).alias(f"l{o}") for o, w in enumerate(weights, 1)])
 
-    return [(*name, probability(*name)) for name in tuning_names()]
+    rows = events.select("*", F.inline(F.array(*[row(*name) for name in names])))
+    x, method = F.col("x"), F.col("method")
+    either = lambda f: F.when(F.col("order_n") == 2, f(2, x)).otherwise(f(3, x))
+    mixed = F.least(F.greatest(sum((F.col(f"l{o}") * mle(o) for o in (1, 2, 3)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    rows = rows.select("times", "method", "order_n", "params", F.when(method == "laplace", either(laplace)).when(method == "backoff", either(backoff)).when(method == "kneser_ney", either(kneser_ney)).otherwise(mixed).alias("p"))
+    sums = rows.groupBy("method", "order_n", "params").agg(F.sum("times").alias("events"), F.sum(F.when(F.col("p") > 0, 0).otherwise(F.col("times"))).alias("zero_events"), F.sum(F.when(F.col("p") > 0, F.ln("p") * F.col("times")).otherwise(0.0)).alias("l"))
+    return sums.select("method", "order_n", "params", "events", "zero_events", (F.col("zero_events") > 0).alias("is_inf"), F.when(F.col("zero_events") == 0, F.round(F.exp(-F.col("l") / F.col("events")), 4)).alias("perplexity"))
 
 
-def evaluated(events: DataFrame, grid=None, at_once: int = 24) -> DataFrame:
-    """``(method, order_n, params, events, zero_events, is_inf, perplexity)``: ``at_once`` models in one aggregation, then unfolded."""
+def evaluated(events: DataFrame, grid=None) -> DataFrame:
+    """``(method, order_n, params, events, zero_events, is_inf, perplexity)``: the whole grid in one aggregation, then unfolded."""
     grid = grid or models()
-    if len(grid) > at_once:
-        events = cut_lineage(events)
-        parts = [evaluated(events, grid[i : i + at_once], at_once) for i in range(0, len(grid), at_once)]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
     sums = []
     for i, (_, _, _, p) in enumerate(grid):
         sums += [F.sum(F.when(p > 0, F.ln(p) * F.col("times")).otherwise(0.0)).alias(f"l{i}"), F.sum(F.when(p > 0, 0).otherwise(F.col("times"))).alias(f"z{i}")]

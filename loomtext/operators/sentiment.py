@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
+from loomtext.session import cut_lineage
 
 
 def label(score: Column, mode: str) -> Column:
@@ -128,7 +129,31 @@ def mcnemar(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
         from math import exp, lgamma, log
 
         p = min(1.0, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * log(2)) for i in range(k + 1)))
-    return c.select("only_a", "only_b", (F.col("only_a") + F.col("only_b")).alias("n"), F.lit(round(p, 6)).alias("p"))
+    return c.select("only_a", "only_b", (F.col("only_a") + F.col("only_b")).alias("n"), F.round(F.lit(p + 1e-12), 6).alias("p"))
+
+
+def model_pairs(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """``(model_a, model_b, only_a, only_b)`` of every two models, from one row a document with a prediction of each; one aggregation."""
+    right = {m: F.coalesce(F.col(m) == F.col("label"), F.lit(False)) for m in models}
+    pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
+    one = wide.agg(*[c.alias(f"{side}{k}") for k, (a, b) in enumerate(pairs) for side, c in (("a", F.count_if(right[a] & ~right[b])), ("b", F.count_if(~right[a] & right[b])))])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("model_a"), F.lit(b).alias("model_b"), F.col(f"a{k}").alias("only_a"), F.col(f"b{k}").alias("only_b")) for k, (a, b) in enumerate(pairs)])))
+
+
+def winners(wide: DataFrame, models: tuple[str, ...]) -> DataFrame:
+    """``(metric, model, value, note)``: the best model of each metric, the first name of equals."""
+    long = wide.unpivot(["label"], list(models), "model", "prediction")
+    c = cut_lineage(long.groupBy("model", "label", "prediction").agg(F.count("*").alias("n")))  # a row a model and two labels
+    names = c.select("model", "label").union(c.select("model", "prediction")).distinct()
+    each = names.alias("m").join(c.alias("c"), "model").groupBy("model", F.col("m.label").alias("name")).agg(
+        F.sum(F.when((F.col("c.label") == F.col("m.label")) & (F.col("prediction") == F.col("m.label")), F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(F.col("c.label") == F.col("m.label"), F.col("n")).otherwise(0)).alias("support"),
+        F.sum(F.when(F.col("prediction") == F.col("m.label"), F.col("n")).otherwise(0)).alias("predicted"),
+    )
+    scores = each.groupBy("model").agg(F.round(F.sum("tp") / F.sum("support"), 6).alias("accuracy"), F.round(F.avg(2 * F.col("tp") / (F.col("predicted") + F.col("support"))), 4).alias("macro_f1"))
+    rows = scores.unpivot("model", ["accuracy", "macro_f1"], "metric", "value")
+    best = rows.withColumn("r", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "model"))).filter("r = 1")
+    return best.select("metric", "model", "value", F.concat(F.lit("best "), "metric", F.lit(": "), "model").alias("note"))
 
 
 def holm(tests: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame:

@@ -123,8 +123,8 @@ def usable(df: DataFrame, vec: str, length: int) -> DataFrame:
 ASKED = 2048  # queries that are sent to the executors at a time
 
 
-def asked(queries: DataFrame, space: DataFrame, key: str, vec: str, top: int, measure: Column | None = None) -> DataFrame:
-    """``(q, rank, key, similarity)``: a stated query set ``(q, qv)`` against all vectors.
+def asked(queries: DataFrame, space: DataFrame, key: str, vec: str, top: int, measure: Column | None = None, without: Column | None = None) -> DataFrame:
+    """``(q, rank, key, similarity)``: a stated query set ``(q, qv)`` against all vectors but the query's own and what ``without`` says.
 
     The queries are counted and sent in blocks of about ``ASKED``; every task keeps its best rows of a query before anything
     is shuffled.
@@ -136,7 +136,8 @@ def asked(queries: DataFrame, space: DataFrame, key: str, vec: str, top: int, me
     out = None
     for b in range(max(blocks, 1)):
         block = queries if blocks <= 1 else queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        pairs = space.join(F.broadcast(block), F.coalesce(F.col(key) != F.col("q"), F.lit(True))).select("q", key, F.round(sim, 6).alias("similarity"))
+        others = ~without if without is not None else F.coalesce(F.col(key) != F.col("q"), F.lit(True))
+        pairs = space.join(F.broadcast(block), others).select("q", key, F.round(sim, 6).alias("similarity"))
         best = pairs.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("q", "rank", key, "similarity")
         out = best if out is None else out.unionByName(best)
     return out
@@ -155,15 +156,48 @@ def analogies(questions: DataFrame, space: DataFrame, key: str, vec: str, top: i
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("a", "b", "c", "rank", key, "similarity")
 
 
+def analogy_answers(questions: DataFrame, space: DataFrame, key: str, vec: str, top: int) -> DataFrame:
+    """``(*questions, is_known, rank)``: the rank at which ``expected`` comes out for b - a + c over unit vectors, null beyond ``top``.
+
+    A question one of whose words has no vector is not known and is not asked.
+    """
+    v = space.select(F.col(key).alias("k"), ar.unit(F.col(vec)).alias("v"))
+    q = questions.withColumn("q", F.xxhash64("a", "b", "c", "expected"))
+    found = q
+    for name in ("a", "b", "c"):
+        found = found.join(v.select(F.col("k").alias(name), F.col("v").alias(f"v{name}")), name)
+    found = cut_lineage(found.join(v.select(F.col("k").alias("expected")), "expected", "left_semi").select("q", "a", "b", "c", ar.combined(F.col("va"), F.col("vb"), F.col("vc")).alias("qv")).dropDuplicates(["q"]))
+    answers = asked(found, space.select(key, vec), key, vec, top, without=F.col(key).isin(F.col("a"), F.col("b"), F.col("c")))
+    known = q.join(found.select("q", F.lit(True).alias("is_known")), "q", "left")
+    ranked = known.join(answers.select("q", F.col(key).alias("expected"), "rank"), ["q", "expected"], "left")
+    return ranked.select(*questions.columns, F.coalesce("is_known", F.lit(False)).alias("is_known"), "rank")
+
+
 def mean_vector(df: DataFrame, vec: str, group: list[str]) -> DataFrame:
     """``(*group, v)``: element-wise means; one row an element is shuffled after a map-side combine."""
     parts = df.select(*group, F.posexplode(vec).alias("i", "x")).groupBy(*group, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return parts.groupBy(*group).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
 
 
-def kmeans_step(df: DataFrame, key: str, vec: str, classes: int) -> DataFrame:
-    """``(key, class)`` after one round from the start ``key mod classes``: nearest class mean by cosine, ties to the lower."""
-    start = df.withColumn("class", F.pmod(F.col(key), F.lit(classes)))
-    means = mean_vector(start, vec, ["class"])
-    scored = df.join(F.broadcast(means), how="cross").select(key, F.round(ar.cosine(F.col(vec), F.col("v")), 6).alias("s"), (-F.col("class")).alias("c"))  # `classes` rows
+def nearest_class(df: DataFrame, means: DataFrame, key: str, vec: str) -> DataFrame:
+    """``(key, class)``: the class whose mean is nearest by cosine, ties to the lower; ``means`` has a row a class."""
+    scored = df.join(F.broadcast(means), how="cross").select(key, F.round(ar.cosine(F.col(vec), F.col("v")), 6).alias("s"), (-F.col("class")).alias("c"))
     return scored.groupBy(key).agg(F.max(F.struct("s", "c")).alias("b")).select(key, (-F.col("b.c")).alias("class"))
+
+
+def kmeans_step(df: DataFrame, key: str, vec: str, classes: int) -> DataFrame:
+    """``(key, class)`` after one round from the start ``key mod classes``."""
+    return kmeans(df, key, vec, classes, 1)
+
+
+def kmeans(df: DataFrame, key: str, vec: str, classes: int, rounds: int) -> DataFrame:
+    """``(key, class)`` after some rounds from the start ``key mod classes``; ends early when no vector changes its class."""
+    placed = df.select(key, F.pmod(F.col(key), F.lit(classes)).alias("class"))
+    for _ in range(rounds):
+        means = mean_vector(df.select(key, vec).join(placed, key), vec, ["class"])
+        after = cut_lineage(nearest_class(df.select(key, vec), means, key, vec))
+        same = rounds > 1 and after.join(placed.withColumnRenamed("class", "__before"), key).filter("class <> __before").limit(1).count() == 0
+        placed = after
+        if same:
+            break
+    return placed

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.plans import texts, cleaning, language_models, labels, vectors, retrieval  # noqa: I001
+from loomtext.plans import texts, cleaning, language_models, sequences, labels, vectors, retrieval  # noqa: I001
 
-PARTS = (texts, cleaning, language_models, labels, vectors, retrieval)
+PARTS = (texts, cleaning, language_models, sequences, labels, vectors, retrieval)
 
 
 def queries() -> dict[str, Callable]:

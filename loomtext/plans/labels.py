@@ -83,7 +83,35 @@ def mcnemar(spark, d):
     return sentiment.mcnemar(bayes(spark, d), bayes(spark, d, True), "review_id").drop("p")
 
 
-@query("mcnemar_p")
+WIDE = f"""pa as (with {MULTI} select review_id, label, prediction from nb), pb as (with {BERN} select review_id, prediction from nb), ma as (with {REVIEWS}, q as (select label, count(*) as n from r where split = 'train' group by label) select label from q order by n desc, label limit 1),
+wide as (select review_id, pa.label, pa.prediction as nb_multinomial, pb.prediction as nb_bernoulli, (from ma) as majority from pa join pb using (review_id))"""
+MODELS = ("majority", "nb_bernoulli", "nb_multinomial")
+
+
+def predictions(spark, d):
+    """One row a test review with the prediction of each model."""
+    train = reviews(spark, d).filter("split = 'train'").groupBy("label").agg(F.count("*").alias("n"))
+    most = train.orderBy(F.desc("n"), "label").first()
+    both = bayes(spark, d).select("review_id", "label", F.col("prediction").alias("nb_multinomial")).join(bayes(spark, d, True).select("review_id", F.col("prediction").alias("nb_bernoulli")), "review_id")
+    return cut_lineage(both.withColumn("majority", F.lit(most["label"] if most else None).cast("string")))
+
+
+query("model_predictions", f"with {WIDE} select * from wide")(predictions)
+query(
+    "model_pairs",
+    f"with {WIDE} " + " union all ".join(f"select '{a}' as model_a, '{b}' as model_b, count_if({a} = label and {b} <> label)::bigint as only_a, count_if({a} <> label and {b} = label)::bigint as only_b from wide" for i, a in enumerate(MODELS) for b in MODELS[i + 1 :]),
+)(lambda spark, d: sentiment.model_pairs(predictions(spark, d), MODELS))
+SCORE_ROWS = " union all ".join(f"select '{m}' as model, label, {m} as prediction from wide" for m in MODELS)
+query(
+    "model_winners",
+    f"""with {WIDE}, lo as ({SCORE_ROWS}), nm as (select model, label from lo union select model, prediction from lo), ce as (select model, label, count_if(l.label = nm.label and prediction = nm.label) as tp, count_if(l.label = nm.label) as support, count_if(prediction = nm.label) as predicted from nm join lo l using (model) group by model, nm.label),
+f as (select model, round(avg(2 * tp / (predicted + support)), 4) as macro_f1, round(sum(tp) / sum(support), 6) as accuracy from ce group by model), m as (select model, 'accuracy' as metric, accuracy as value from f union all select model, 'macro_f1', macro_f1 from f)
+select metric, model, value, 'best ' || metric || ': ' || model as note from m qualify row_number() over (partition by metric order by value desc, model) = 1""".replace("select model, label, count_if(l.label", "select model, nm.label, count_if(l.label"),
+)(lambda spark, d: sentiment.winners(predictions(spark, d), MODELS))
+P_VALUE = "least(1, 2 * list_sum(list_transform(generate_series(0, least(only_a, only_b)), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))))"
+
+
+@query("mcnemar_p", f"with x as ({SQL['mcnemar']}) select only_a, only_b, n, round(case when n = 0 then 1 else {P_VALUE} end + 1e-12, 6) as p from x")
 def mcnemar_p(spark, d):
     return sentiment.mcnemar(bayes(spark, d), bayes(spark, d, True), "review_id")
 

@@ -111,15 +111,14 @@ def tuned(spark, d):
     parts = cut_lineage(lm.dev_split(train, "sid"))
     core, dev = (parts.filter(F.col("split") == s).select("sid", "words") for s in ("train", "test"))
     dev = lm.in_vocabulary(dev, lm.vocabulary(core, 1))
-    return cut_lineage(lm.evaluated(lm.event_table(core, dev), lm.tuning_models()))
+    return cut_lineage(lm.evaluated_names(lm.event_table(core, dev), lm.tuning_names()))
 
 
 def chosen(spark, d):
     """The best parameters of each method and order with their perplexity on the test part."""
     best = cut_lineage(lm.selected(tuned(spark, d)))
     names = {(r["method"], r["order_n"], r["params"]) for r in best.collect()}  # a row a method and order
-    grid = [m for m in lm.tuning_models() if m[:3] in names]
-    tested = lm.evaluated(lm.event_table(*mapped(spark, d)), grid)
+    tested = lm.evaluated_names(lm.event_table(*mapped(spark, d)), [n for n in lm.tuning_names() if n in names])
     return cut_lineage(best.join(tested.select("order_n", "method", "params", F.col("perplexity").alias("test_perplexity")), ["order_n", "method", "params"]))
 
 

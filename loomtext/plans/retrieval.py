@@ -120,7 +120,25 @@ query("qa_best_window", "with s as (select vec_id % 50 as question, vec_id as st
 query("vector_store_join", "select r_name, count(*) as n from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name is not null group by r_name")(
     lambda spark, d: table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
 )
-query("session_markdown")(lambda spark, d: sessions(spark, d))
+query("session_markdown", "with q as (select distinct question_id, title, question, answers from squad_examples) select title, string_agg('## ' || coalesce(question, '') || chr(10) || chr(10) || coalesce(answers[1], ''), chr(10) || chr(10) order by question_id) as markdown from q group by title")(lambda spark, d: sessions(spark, d))
+REPORT = "select 'corpus' as section, 'documents' as name, count(*)::varchar as value from documents union all select 'corpus', 'sources', count(distinct source)::varchar from documents union all select 'kinds', coalesce(doc_kind, 'none'), count(*)::varchar from documents group by doc_kind union all select 'reviews', coalesce(split_name, 'none'), count(distinct review_id)::varchar from reviews group by split_name"
+query("report_markdown", f"with x as ({REPORT}), y as (select section, string_agg('- ' || name || ': ' || value, chr(10) order by name) as body from x group by section) select string_agg('## ' || section || chr(10) || chr(10) || body, chr(10) || chr(10) order by section) as markdown from y")(lambda spark, d: report(spark, d))
+
+
+def report(spark, d):
+    """Counts of the tables as one report."""
+    from loomtext.sources import sinks
+
+    documents, reviews = table(spark, d, "documents"), table(spark, d, "reviews")
+    row = lambda section, name, value: [F.lit(section).alias("section"), name.alias("name"), value.cast("string").alias("value")]
+    counts = documents.agg(F.count("*").alias("a"), F.count_distinct("source").alias("b"))
+    parts = [counts.select(*row("corpus", F.lit("documents"), F.col("a"))), counts.select(*row("corpus", F.lit("sources"), F.col("b")))]
+    parts.append(documents.groupBy("doc_kind").count().select(*row("kinds", F.coalesce("doc_kind", F.lit("none")), F.col("count"))))
+    parts.append(reviews.groupBy("split_name").agg(F.count_distinct("review_id").alias("n")).select(*row("reviews", F.coalesce("split_name", F.lit("none")), F.col("n"))))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return sinks.report_markdown(rows)
 
 
 def sessions(spark, d):

@@ -100,11 +100,46 @@ query("analogy_raw", analogy_sql(False))(lambda spark, d: vectors.analogies(ques
 query("analogy_unit", analogy_sql(True))(lambda spark, d: vectors.analogies(questions(spark), space(spark, d), "word_id", "vec", 5, unit=True))
 
 
-@query("analogy_rollup", """with a as (select label % 2 as kind, label, vec_id % 3 as hit from embeddings) select kind::bigint as kind, label::bigint as label, count(*) as asked, round(avg(case when hit = 0 then 1.0 else 0.0 end), 6) as accuracy from a group by rollup (kind, label)""")
+# ---- analogy questions: one for each word whose id is divisible by 100; the first five of fourteen files are semantic ones
+FILES, SEMANTIC, FIRST_ANSWERS = 14, 5, 10
+ANSWERS = f"""{WORDS}, u as (select word_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as v from w), q as (select distinct word_id as a, word_id + 1 as b, word_id + 2 as c, word_id + 3 as expected from word_vectors where word_id % 100 = 0),
+k as (select q.*, list_transform(list_zip(x.v, y.v, z.v), lambda t: t[2] - t[1] + t[3]) as qv from q join u x on x.word_id = a join u y on y.word_id = b join u z on z.word_id = c semi join u e on e.word_id = expected),
+s as (select a, word_id, row_number() over (partition by a order by round(list_cosine_similarity(qv, v), 6) desc, word_id) as rank from k join w on word_id not in (a, b, c) qualify rank <= {FIRST_ANSWERS}),
+an as (select q.*, (a // 100) % {FILES} as file, k.a is not null as is_known, rank from q left join k using (a, b, c, expected) left join s on s.a = q.a and s.word_id = expected)"""
+
+
+def answers(spark, d):
+    ids = table(spark, d, "word_vectors").filter("word_id % 100 = 0").select(F.col("word_id").alias("a")).distinct()
+    asked = ids.select("a", (F.col("a") + 1).alias("b"), (F.col("a") + 2).alias("c"), (F.col("a") + 3).alias("expected"))
+    return vectors.analogy_answers(asked, space(spark, d), "word_id", "vec", FIRST_ANSWERS)
+
+
+query("analogy_answers", f"with {ANSWERS} select a, b, c, expected, is_known, rank from an")(answers)
+query("analogy_summary", f"with {ANSWERS} select count(*) as asked, coalesce(count_if(is_known), 0)::bigint as evaluated, coalesce(count_if(not is_known), 0)::bigint as skipped, round(coalesce(count_if(rank = 1) / nullif(count_if(is_known), 0), 0), 6) as hit_1, round(coalesce(count_if(rank is not null) / nullif(count_if(is_known), 0), 0), 6) as hit_k from an")(
+    lambda spark, d: answers(spark, d).agg(
+        F.count("*").alias("asked"), F.count_if("is_known").alias("evaluated"), F.count_if(~F.col("is_known")).alias("skipped"),
+        F.round(F.coalesce(F.try_divide(F.count_if(F.col("rank") == 1), F.count_if("is_known")), F.lit(0.0)), 6).alias("hit_1"), F.round(F.coalesce(F.try_divide(F.count("rank"), F.count_if("is_known")), F.lit(0.0)), 6).alias("hit_k"),
+    )
+)
+
+
+@query("analogy_rollup", f"with {ANSWERS}, x as (select case when file < {SEMANTIC} then 'semantic' else 'syntactic' end as kind, file, rank from an where is_known) select kind, file::bigint as file, count(*) as asked, count_if(coalesce(rank = 1, false))::bigint as hits, round(count_if(coalesce(rank = 1, false)) / count(*), 6) as accuracy from x group by rollup (kind, file) having count(*) > 0")
 def analogy_rollup(spark, d):
-    """Accuracy by kind, by class within it, and over all; the hit stands for an answered question."""
-    rows = table(spark, d, "embeddings").select((F.col("label") % 2).cast("bigint").alias("kind"), F.col("label").cast("bigint").alias("label"), (F.col("vec_id") % 3 == 0).alias("hit"))
-    return rows.rollup("kind", "label").agg(F.count("*").alias("asked"), F.round(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)), 6).alias("accuracy"))
+    """Accuracy of the first answer by kind, by file within it, and over all."""
+    rows = answers(spark, d).filter("is_known").withColumn("file", F.floor(F.col("a") / 100) % FILES).withColumn("kind", F.when(F.col("file") < SEMANTIC, "semantic").otherwise("syntactic"))
+    hits = F.count_if(F.coalesce(F.col("rank") == 1, F.lit(False)))
+    return rows.rollup("kind", "file").agg(F.count("*").alias("asked"), hits.alias("hits"), F.round(hits / F.count("*"), 6).alias("accuracy"))
+
+
+query("neighbour_cosine", f"with {WORDS}, x as (select round(list_cosine_similarity(a.v, b.v), 6) as s from w a join w b on a.word_id <> b.word_id where a.word_id % 100 = 0 qualify row_number() over (partition by a.word_id order by round(list_cosine_similarity(a.v, b.v), 6) desc, b.word_id) <= 3) select round(coalesce(avg(s), 0), 5) as mean, count(*) as n from x")(
+    lambda spark, d: knn(spark, d).agg(F.round(F.coalesce(F.avg("similarity"), F.lit(0.0)), 5).alias("mean"), F.count("*").alias("n"))
+)
+
+
+@query("kmeans")
+def kmeans(spark, d):
+    """Word classes after ten rounds from the start ``id mod 10``: a row a vector."""
+    return vectors.kmeans(table(spark, d, "embeddings"), "vec_id", "embedding", 10, 10)
 
 
 @query("centroid_query", """with u as (select vec_id, label, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y)))) as v from embeddings), e as (select label, unnest(v) as x, generate_subscripts(v, 1) as i from u), m as (select label, list(x order by i) as v from (select label, i, avg(x) as x from e group by label, i) group by label)

@@ -63,15 +63,16 @@ def squad(spark: SparkSession, path: str) -> DataFrame:
     return q.select(F.col("q.id").alias("question_id"), F.lower("title").alias("title"), F.lower("context").alias("context"), F.lower("q.question").alias("question"), texts.alias("answers"), F.col("q.answers.answer_start").alias("answer_starts"))
 
 
-def text_vectors(spark: SparkSession, path: str, length: int | None = None) -> DataFrame:
-    """``(word, vec)`` from lines ``word x x …``; a header ``n d`` gives the length, else the commonest; other lines are skipped."""
+def text_vectors(spark: SparkSession, path: str, length: int | None = None, words: DataFrame | None = None) -> DataFrame:
+    """``(word, vec)`` from lines ``word x x …``; a header ``n d`` gives the length, else the commonest; other lines are skipped. With ``words`` only theirs come."""
     parts = spark.read.text(path).select(F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "").alias("p")).filter(F.size("p") > 1)
     if length is None:
         head = parts.filter((F.size("p") == 2) & F.forall("p", lambda x: x.rlike(r"^\d+$"))).first()
         common = parts.filter(F.size("p") > 2).groupBy(F.size("p").alias("n")).count().orderBy(F.desc("count"), "n").first()
         length = int(head["p"][1]) if head else common["n"] - 1 if common else 0
     vec = F.transform(F.slice("p", F.lit(2), F.lit(max(length, 1))), lambda x: x.try_cast("float"))
-    return parts.filter(F.size("p") == length + 1).select(F.element_at("p", 1).alias("word"), vec.alias("vec")).filter(~F.exists("vec", lambda x: x.isNull()))
+    found = parts.filter(F.size("p") == length + 1).select(F.element_at("p", 1).alias("word"), vec.alias("vec")).filter(~F.exists("vec", lambda x: x.isNull()))
+    return found.join(words.select("word").distinct(), "word", "left_semi") if words is not None else found
 
 
 def binary_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -114,12 +115,13 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 def boundary_places(spark: SparkSession, path: str) -> DataFrame:
     """Numbers from a JSON array or from lines."""
     whole = spark.read.option("wholetext", True).text(path)
-    return whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)"), F.lit(1))).cast("int").alias("idx"))
+    return whole.select(F.explode(F.regexp_extract_all("value", F.lit(r"(\d+)"), F.lit(1))).alias("x")).select(F.col("x").cast("int").alias("idx"))
 
 
-def corpus_lines(spark: SparkSession, path: str, boundary: str | None = None) -> DataFrame:
-    """``words`` of each line, split at blanks and tabs; a boundary word may end each."""
+def corpus_lines(spark: SparkSession, path: str, boundary: str | None = None, longest: int | None = None) -> DataFrame:
+    """``words`` of each line, split at blanks and tabs; a boundary word may end each, and words may be cut to a length."""
     words = F.filter(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"[ \t]+"), lambda w: w != "")
+    words = F.transform(words, lambda w: F.left(w, F.lit(longest))) if longest else words
     return spark.read.text(path).select((F.concat(words, F.array(F.lit(boundary))) if boundary else words).alias("words"))
 
 
@@ -142,10 +144,34 @@ def confusion_costs(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("op", F.when(arrow > 0, F.left("k", arrow - 1)).otherwise("").alias("a"), F.when(arrow > 0, F.substring(F.col("k"), arrow + 2, F.length("k"))).otherwise(F.col("k")).alias("b"), "n")
 
 
-def latest_evaluation(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the last file ``rag_eval_*.json`` by name; a payload without records is an error."""
+def index_version(spark: SparkSession, path: str) -> int | None:
+    """The last complete version of a vector index."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    complete = [int(n.partition("=")[2]) for n in names if n.startswith("version=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(complete, default=None)
+
+
+def vector_store(spark: SparkSession, path: str, collection: str | None = None) -> DataFrame:
+    """A vector index, or one of its collections; one that is not there or is empty is an error."""
+    version = index_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no index in {path}")
+    df = spark.read.parquet(f"{path}/version={version}")
+    df = df.filter(F.col("collection") == collection) if collection is not None else df
+    if df.isEmpty():
+        raise ValueError(f"nothing in {path}" + (f", collection {collection}" if collection else ""))
+    return df
+
+
+def latest_evaluation(spark: SparkSession, folder: str, least: int = 0) -> DataFrame:
+    """The records of the last file ``rag_eval_*.json`` by name that has ``least`` of them; a payload without records is an error."""
     df = spark.read.schema(schemas.EVALUATION).option("multiLine", True).option("pathGlobFilter", "rag_eval_*.json").json(folder).select("*", F.col("_metadata.file_name").alias("file"))
-    last = df.agg(F.max("file")).first()[0]
+    last = df.filter(F.coalesce(F.size("records"), F.lit(0)) >= least).agg(F.max("file")).first()[0] if least else df.agg(F.max("file")).first()[0]
     if last is None:
         raise FileNotFoundError(f"no evaluation in {folder}")
     rows = df.filter(F.col("file") == last)

@@ -152,3 +152,75 @@ def test_mcnemar_and_holm(spark):
 @pytest.mark.parametrize("score, mode, want", [(5, "sentiment3", "positive"), (3, "sentiment3", "neutral"), (3, "binary", None), (5, "score5", "5"), (9, "score5", None), (None, "binary", None)])
 def test_labels(spark, score, mode, want):
     assert spark.createDataFrame([(score,)], "s int").select(sentiment.label(F.col("s"), mode).alias("l")).first()["l"] == want
+
+
+def test_in_vocabulary_by_list_and_by_join(spark, monkeypatch):
+    train = spark.createDataFrame([("1-0", ["a", "b", "a"]), ("1-1", [])], "sid string, words array<string>")
+    vocab = spark.createDataFrame([("a",)], "token string")
+    want = {"1-0": ["a", "<unk>", "a"]}
+    for most in (10, 0):
+        monkeypatch.setattr(lm, "LISTED", most)
+        assert {r["sid"]: r["words"] for r in lm.in_vocabulary(train, vocab).collect() if r["words"]} == want
+
+
+def test_suggestions_fall_back(spark):
+    train = spark.createDataFrame([(["a", "b", "c"],), (["a", "b", "d"],), (["a", "b", "c"],)], "words array<string>")
+    contexts = spark.createDataFrame([(1, ["a", "b"]), (2, ["x", "b"]), (3, ["x"])], "k bigint, words array<string>")
+    got = {(r["k"], r["order_n"]): (r["is_fallback"], r["w"]) for r in lm.suggestions(contexts, train, "k").filter("rank = 1").collect()}
+    assert got[1, 3] == (False, "c") and got[2, 3] == (True, "c") and got[3, 2] == (True, "a") and got[3, 3] == (False, "a")
+
+
+def test_winner_of_two_close_methods(spark):
+    rows = [(3, "backoff", "d", 10.0, 100.0), (3, "laplace", "k", 9.0, 100.2), (2, "laplace", "k", 5.0, None), (2, "backoff", "d", 6.0, 50.0)]
+    chosen = spark.createDataFrame(rows, "order_n bigint, method string, params string, dev_perplexity double, test_perplexity double")
+    got = {r["order_n"]: (r["winner"], r["is_tie"]) for r in lm.winner(lm.ranking(chosen)).collect()}
+    assert got == {3: ("laplace", True), 2: ("backoff", False)}
+
+
+def test_labels_are_checked_and_grouped(spark):
+    texts = spark.createDataFrame([(1, "Ev. Su"), (2, None)], "k bigint, text string")
+    labels = spark.createDataFrame([(1, 2, 1), (1, 3, 0), (1, 9, 0), (2, 0, 1), (7, 0, 1)], "k bigint, char_index bigint, eos int")
+    got = {(r["k"], r["char_index"]): r["fault"] for r in boundaries.invalid_labels(labels, texts, "k", "text").collect()}
+    assert got == {(1, 3): "no stop", (1, 9): "outside", (2, 0): "outside", (7, 0): "no document"}
+    first = boundaries.by_document(labels, "k").filter("k = 1").first()["labels"]
+    assert [x["char_index"] for x in first] == [2, 3, 9]
+
+
+def test_stops_of_a_long_text(spark):
+    text = "".join(f"Söz{i}. " for i in range(3000))
+    rows = boundaries.dots(spark.createDataFrame([(1, text)], "k bigint, t string"), "k", "t").orderBy("at").collect()
+    assert [r["at"] for r in rows] == [i for i, c in enumerate(text) if c == "."] and [r["dot_index"] for r in rows] == list(range(3000))
+    assert all(r["text"][r["p"]] == "." and r["text"] == text[r["at"] - r["p"] : r["at"] - r["p"] + len(r["text"])] for r in rows)
+
+
+def test_encoded_sequences(spark):
+    from loomtext.operators import sequences
+
+    vocab = sequences.vocabulary(spark.createDataFrame([("a", 5), ("b", 5), ("c", 9), ("d", 1)], "token string, n bigint"), 2, 2)
+    assert {r["token"]: r["id"] for r in vocab.collect()} == {"c": 2, "a": 3}
+    df = spark.createDataFrame([(1, ["a", "b", "c", "c"]), (2, []), (3, ["c"])], "k bigint, w array<string>")
+    assert {r["k"]: (r["ids"], r["n"]) for r in sequences.encoded(df, "w", vocab, 3).collect()} == {1: ([3, 1, 2], 3), 2: ([1, 0, 0], 1), 3: ([2, 0, 0], 1)}
+    assert {r["k"]: r["ids"] for r in sequences.encoded(df, "w", vocab).collect()} == {1: [3, 1, 2, 2], 2: [1], 3: [2]}
+
+
+def test_unlike_rows_with_one_key_stay(spark):
+    from loomtext.session import one_record
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, None), (2, None)], "k bigint, t string")
+    assert sorted((r["k"], r["t"] or "") for r in one_record(df, "k").collect()) == [(1, "a"), (1, "b"), (2, "")]
+
+
+def test_analogies_by_rank(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.1]), (4, [0.1, 1.0]), (5, [-1.0, 0.0])]
+    space = spark.createDataFrame(rows, "id bigint, v array<float>")
+    asked = spark.createDataFrame([(1, 2, 3, 4), (1, 2, 3, 9)], "a bigint, b bigint, c bigint, expected bigint")
+    got = {r["expected"]: (r["is_known"], r["rank"]) for r in vectors.analogy_answers(asked, space, "id", "v", 2).collect()}
+    assert got == {4: (True, 1), 9: (False, None)}
+
+
+def test_singular_values_against_numpy(spark):
+    import numpy as np
+
+    m = np.random.default_rng(3).poisson(0.6, (40, 12))
+    td = spark.createDataFrame([(int(i), f"w{j}", int(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "k bigint, token string, tf bigint")
+    assert np.allclose(vectors.singular_values(td, "k", 3, rounds=40), np.linalg.svd(m, compute_uv=False)[:3], rtol=1e-4)

@@ -42,6 +42,8 @@ def test_review_form(spark):
 
 def test_legacy_tokens(spark):
     assert one(spark, tx.legacy_tokens, "Kitablar çox yaxşı-dır, və s.") == [one(spark, tx.stemmed, w) for w in ("kitablar", "yaxsi", "dir", "s")]
+    assert one(spark, tx.legacy_tokens, "bizler sagda coxlar birer") == []  # stop words once they are stemmed
+    assert one(spark, tx.legacy_tokens, "gozel❤\ufe0f ev👍👍") == ["gozel", "❤\ufe0f", "ev", "👍"]
     assert one(spark, tx.stemmed, "kitablar") == "kitab"
 
 
@@ -100,3 +102,30 @@ def test_variants():
 
 def test_word_spans():
     assert [(s["word"], s["start"], s["end"]) for s in udfs.word_spans("Bu, 3 ev.�")] == [("Bu", 0, 2), (",", 2, 3), ("3", 4, 5), ("ev", 6, 8), (".", 8, 9)]
+
+
+def test_markup_becomes_text(spark):
+    page = "{{Məlumat|a={{b}}}}\n'''Ad''' bir [[Bakı|şəhər]]dir<ref name=x>qeyd</ref>. [[Fayl:x.jpg|thumb]] [https://a.b c d] <b>yox</b> son[[Kateqoriya:X]]"
+    assert one(spark, tx.wikitext_plain, page) == "bir şəhərdir. c d son"
+
+
+def test_lines_of_a_language_are_dropped(spark):
+    words = {"en": ["the", "of", "and"], "az": ["və", "bu"]}
+    assert one(spark, lambda c: tx.without_lines_in(c, words), "bu ev və su\nthe end of it\nthe\nbu the of və") == "bu ev və su\nthe\nbu the of və"
+
+
+def test_sentences_at_given_boundaries():
+    from loomtext.functions.udfs import sentences_at
+
+    text = "A.b gəldi.» Nə?) Bəli."
+    assert sentences_at(text, {9, 21}) == [{"sentence": "A.b gəldi.»", "boundary": 9}, {"sentence": "Nə?)", "boundary": 14}, {"sentence": "Bəli.", "boundary": 21}]
+    assert sentences_at("son", set()) == [{"sentence": "son", "boundary": None}] and sentences_at("", set()) == []
+
+
+def test_lists_softmax_and_stamps(spark):
+    from pyspark.sql import functions as F
+
+    from loomtext.functions import arrays as ar
+
+    row = spark.range(1).select(ar.softmax(F.array(F.lit(0.0), F.lit(0.0))).alias("s"), ar.fitted(F.array(F.lit(1), F.lit(2)), 3, 0).alias("f"), tx.utc_stamp().alias("t"), tx.list_items(F.lit("a, b\na,,")).alias("l"), tx.truthy(F.lit(" Yes ")).alias("y")).first()
+    assert row["s"] == [0.5, 0.5] and row["f"] == [1, 2, 0] and len(row["t"]) == 16 and row["l"] == ["a", "b"] and row["y"]
