@@ -194,19 +194,21 @@ def plane(rows):
 
 @query("word2vec")
 def word2vec(spark, d):
-    """Skip-gram vectors of the commonest words, trained on the sentences: a word and the length of its vector."""
+    """Skip-gram vectors of the commonest words, trained on the sentences: a word, the length of its vector and its norm."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     rows = cut_lineage(sentences(spark, d).select("words"))
     model = Word2Vec(vectorSize=16, minCount=20, maxIter=1, numPartitions=4, seed=1, inputCol="words", outputCol="v").fit(rows)
-    return model.getVectors().select("word", F.lit(16).cast("bigint").alias("length"))
+    rows = model.getVectors().select("word", vector_to_array("vector").alias("vec"))
+    return rows.select("word", F.size("vec").cast("bigint").alias("length"), F.round(ar.norm(F.col("vec")), 4).alias("norm"))
 
 
 @query("trained_vectors")
 def trained_vectors(spark, d):
-    """Vectors of the vocabulary's words, fitted to distance-weighted co-occurrence: a word and the length of its vector."""
+    """Vectors of the vocabulary's words, fitted to distance-weighted co-occurrence: a word, the length of its vector and its norm."""
     from loomtext.operators.training import train_vectors
 
     vocab = vocabulary(spark, d)
     cooc = cut_lineage(vectors.cooccurrence(sentences(spark, d), 10, vocab, weighted=True))
-    return train_vectors(cooc, vocab).select("word", F.size("vec").cast("bigint").alias("length"))
+    return train_vectors(cooc, vocab).select("word", F.size("vec").cast("bigint").alias("length"), F.round(ar.norm(F.col("vec")), 4).alias("norm"))
