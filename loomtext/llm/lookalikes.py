@@ -2,9 +2,10 @@
 
 A batch of texts is exploded to one array of code points in their order; a table by code point is joined to it (what a
 character decomposes to, unseen signs to nothing, white space to a blank, letters that look like those of another script to
-one of them), marks are put in the order of their class and recomposed, and the strings are rebuilt. The table is made from
-the character database by rules, its size is bounded by Unicode, and it is built on every executor, so that explode, join and
-rebuild are array operations within an Arrow batch and no row of a code point is ever shuffled.
+one of them), marks are put in the order of their class and recomposed (the library's NFC), and the strings are rebuilt. The
+table is made from the character database by rules and from the list of look-alike letters; its size is bounded by Unicode, and
+it is built on every executor, so that explode, join and rebuild are array operations within an Arrow batch. A row for each
+code point, joined and grouped by Spark, was measured: see the README.
 
 Defined cases: null stays null; white space of any kind and number is one blank and none at the ends, so that a blank text
 becomes the empty one; what is visibly different (case, accents, punctuation, superscripts) stays different; the form of a
