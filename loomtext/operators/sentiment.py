@@ -114,6 +114,15 @@ def overall_metrics(predictions: DataFrame) -> DataFrame:
     return m.agg(F.lit(hits["n"]).alias("n"), F.lit(round((hits["hits"] or 0) / n, 6)).alias("accuracy"), F.round(F.avg("f1"), 4).alias("macro_f1"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 4).alias("weighted_f1"))
 
 
+def binary_metrics(predictions: DataFrame, positive: str) -> DataFrame:
+    """``(tp, fp, fn, tn, precision, recall, f1)`` of one label against the others; nothing to divide by gives 0."""
+    truth, found = F.col("label") == positive, F.col("prediction") == positive
+    c = predictions.agg(F.count_if(truth & found).alias("tp"), F.count_if(~truth & found).alias("fp"), F.count_if(truth & ~found).alias("fn"), F.count_if(~truth & ~found).alias("tn"))
+    div = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select("tp", "fp", "fn", "tn", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def mcnemar(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``(only_a, only_b, n, p)``: documents that one model alone gets right; exact two-sided p of the binomial test.
 

@@ -78,6 +78,22 @@ query("overall_metrics", f"with {MULTI}, {CLASSES} select (select count(*) from
 query("metrics_long", f"with {MULTI}, {CLASSES} select label, 'precision' as metric, precision as value from ce union all select label, 'recall', recall from ce union all select label, 'f1', f1 from ce")(lambda spark, d: sentiment.class_metrics(bayes(spark, d)).unpivot("label", ["precision", "recall", "f1"], "metric", "value"))
 
 
+query("binary_metrics", f"with {MULTI}, m as (select coalesce(count_if(label = 'positive' and prediction = 'positive'), 0) as tp, coalesce(count_if(label <> 'positive' and prediction = 'positive'), 0) as fp, coalesce(count_if(label = 'positive' and prediction <> 'positive'), 0) as fn, coalesce(count_if(label <> 'positive' and prediction <> 'positive'), 0) as tn from nb) select tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, tn::bigint as tn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) as recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from m")(
+    lambda spark, d: sentiment.binary_metrics(bayes(spark, d), "positive")
+)
+MODES = "with r0 as (select distinct review_id, content, score, split_name from reviews), "
+query("label_modes", MODES + "l as (select 'score5' as mode, score::varchar as label from r0 where score between 1 and 5 union all select 'binary', case when score <= 2 then 'negative' else 'positive' end from r0 where score in (1, 2, 4, 5)) select mode, label, count(*) as n from l group by mode, label")(lambda spark, d: label_modes(spark, d))
+
+
+def label_modes(spark, d):
+    """Labels by the two further ways to read a score."""
+    from loomtext.session import one_record, table
+
+    rows = one_record(table(spark, d, "reviews").select("review_id", "content", "score", "split_name"), "review_id")
+    kinds = [rows.select(F.lit(mode).alias("mode"), sentiment.label(F.col("score"), mode).alias("label")) for mode in ("score5", "binary")]
+    return kinds[0].unionByName(kinds[1]).filter("label is not null").groupBy("mode", "label").agg(F.count("*").alias("n"))
+
+
 @query("mcnemar", f"select count_if(a and not b)::bigint as only_a, count_if(b and not a)::bigint as only_b, count_if(a <> b)::bigint as n from (select review_id, label = prediction as a from (with {MULTI} select * from nb)) x join (select review_id, label = prediction as b from (with {BERN} select * from nb)) y using (review_id)")
 def mcnemar(spark, d):
     return sentiment.mcnemar(bayes(spark, d), bayes(spark, d, True), "review_id").drop("p")

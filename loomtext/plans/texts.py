@@ -71,6 +71,7 @@ query(
 select length::bigint as length, suffix, n, row_number() over (partition by length order by n desc, suffix) as rank from e qualify rank <= 15""",
 )(lambda spark, d: corpus.suffixes(counts(spark, d)))
 query("load_texts", f"select doc_id, length(text)::bigint as chars from documents where trim(regexp_replace(coalesce(text, ''), '{WHITE}+', ' ', 'g')) <> ''")(lambda spark, d: corpus.load_texts(docs(spark, d), "doc_id", "text").select("doc_id", F.length("text").cast("bigint").alias("chars")))
+query("load_first_texts", f"select doc_id, length(text)::bigint as chars from documents where trim(regexp_replace(coalesce(text, ''), '{WHITE}+', ' ', 'g')) <> '' order by doc_id limit 50")(lambda spark, d: corpus.load_texts(docs(spark, d), "doc_id", "text", 50).select("doc_id", F.length("text").cast("bigint").alias("chars")))
 query("partial_words", r"select doc_id, regexp_extract(text, '[\p{L}\p{N}_''’\-]+$') as word from documents where text is not null")(lambda spark, d: docs(spark, d).filter("text is not null").select("doc_id", tx.partial_word(F.col("text")).alias("word")))
 query("filename_parts", r"select source, regexp_replace(regexp_replace(trim(source), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as name from (select distinct source from documents where source is not null)")(lambda spark, d: docs(spark, d).filter("source is not null").select("source").distinct().select("source", tx.filename_part(F.col("source")).alias("name")))
 

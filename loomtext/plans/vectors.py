@@ -86,6 +86,13 @@ def knn(spark, d):
     return vectors.asked(s.filter("word_id % 100 = 0").select(F.col("word_id").alias("q"), F.col("vec").alias("qv")), s, "word_id", "vec", 3)
 
 
+@query("knn_forty", f"with {WORDS} select a.word_id as q, b.word_id as word_id, round(list_cosine_similarity(a.v, b.v), 6) as similarity, row_number() over (partition by a.word_id order by round(list_cosine_similarity(a.v, b.v), 6) desc, b.word_id) as rank from w a join w b on a.word_id <> b.word_id where a.word_id % 100 = 0 qualify rank <= 40")
+def knn_forty(spark, d):
+    """The forty nearest words of each word that is asked."""
+    s = space(spark, d)
+    return vectors.asked(s.filter("word_id % 100 = 0").select(F.col("word_id").alias("q"), F.col("vec").alias("qv")), s, "word_id", "vec", 40)
+
+
 def questions(spark):
     return spark.createDataFrame([(a, a + 1, a + 2) for a in (10, 110, 210)], "a bigint, b bigint, c bigint")
 
