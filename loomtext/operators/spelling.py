@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import udfs
-from loomtext.session import parallelism
+from loomtext.functions.arrays import bound
+from loomtext.session import parallelism, written
 
 
 def with_parts(df: DataFrame, word: str, most: int) -> DataFrame:
@@ -53,14 +54,47 @@ def suggestions(words: DataFrame, vocab: DataFrame, most: int = 2, top: int = 5)
     return close_words(words, vocab, most).withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top).select("word", "rank", "token", F.col("dist").cast("bigint").alias("dist"), "n")
 
 
+def shortened(word: Column, most: int) -> Column:
+    """The word and what is left of it after up to ``most`` signs are gone, each once."""
+
+    def without_one(x: Column) -> Column:
+        less = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+        return F.when(F.length(x) > 0, less).otherwise(F.array().cast("array<string>"))
+
+    every = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, without_one)))
+        every = F.concat(every, last)
+    return every
+
+
+#: Letters that a typed word may stand for, and the plain ones.
+MEANT, PLAIN = "".join(t for u, t in udfs.TYPED.items() if len(u) == 1), "".join(u for u in udfs.TYPED if len(u) == 1)
+
+
 def expanded_suggestions(words: DataFrame, vocab: DataFrame, most: int = 2, top: int = 5, edits: int = 2, width: int = 40) -> DataFrame:
-    """Suggestions for every typing variant of a word, each cut to ``top``, merged by the best (distance, frequency, edits)."""
-    v = words.select("word", F.explode(udfs.variants(edits, width)(F.col("word"))).alias("x")).select(F.col("word").alias("asked"), F.col("x.variant").alias("word"), "x.edits")
-    each = suggestions(v.select("word").distinct(), vocab, most, top).join(v, "word")
-    best = each.groupBy("asked", "token").agg(F.min(F.struct("dist", (-F.col("n")).alias("m"), "edits")).alias("b"))
-    order = Window.partitionBy("asked").orderBy("b.dist", "b.m", "b.edits", "token")
+    """Suggestions for all typing variants of a word, merged by the best (distance, frequency, edits).
+
+    Variants of a word differ in letters that have one plain form, but for digraphs; in plain letters no distance is longer. So
+    plain forms are looked up, one or a few a word, and a word's variants are compared with what was found near them. Two forms
+    within ``most`` edits are equal after as many signs or fewer have been left out of either: an equality join on hashes of what
+    is left, with few pairs that turn out to be further apart.
+    """
+    tasks = parallelism(words.sparkSession)
+    v = written(words.repartition(tasks, "word").select(F.col("word").alias("asked"), udfs.variants(edits, width)(F.col("word")).alias("variants")))
+    plain = lambda x: F.translate(x, MEANT, PLAIN)
+    keys = lambda x: F.inline(F.transform(bound(x, lambda y: shortened(y, most)), lambda y: F.struct(F.xxhash64(y).alias("key"), F.length(y).alias("left"))))
+    forms = v.select("asked", F.explode(F.array_distinct(F.transform("variants", lambda x: plain(x["variant"])))).alias("form"))
+    asked = forms.repartition(tasks, "asked").select("asked", "form", keys(F.col("form")))
+    known = vocab.select("token", "n").repartition(tasks, "token").select("token", "n", keys(plain(F.col("token")))).drop("left")
+    gone = F.greatest(F.length("form"), F.length("token")) - F.col("left")  # of the longer one; a pair needs no more than its distance
+    pairs = asked.repartition(tasks, "key").join(known.repartition(tasks, "key"), "key").filter(F.levenshtein("form", plain(F.col("token")), most) >= gone)
+    pairs = pairs.select("asked", "token", "n").repartition(tasks, "asked").distinct()
+    least = F.array_min(F.filter(F.transform("variants", lambda x: F.struct(F.levenshtein(x["variant"], F.col("token"), most).alias("dist"), x["edits"].alias("edits"))), lambda x: x["dist"] >= 0))
+    best = pairs.join(v.repartition(tasks, "asked"), "asked").select("asked", "token", "n", least.alias("b")).filter("b is not null")
+    order = Window.partitionBy("asked").orderBy("b.dist", F.desc("n"), "b.edits", "token")
     ranked = best.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top)
-    return ranked.select(F.col("asked").alias("word"), "rank", "token", "b.dist", (-F.col("b.m")).alias("n"), F.col("b.edits").cast("bigint").alias("edits"))
+    return ranked.select(F.col("asked").alias("word"), "rank", "token", "b.dist", "n", F.col("b.edits").cast("bigint").alias("edits"))
 
 
 def corrupted(word: Column, seed: int = 7, letters: str = "abcçdeəfgğhxıijkqlmnoöprsştuüvyz") -> Column:
