@@ -25,6 +25,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,6 +131,23 @@ def token_bytes(path: str) -> list[bytes]:
     return [by_rank.get(i, b"") for i in range(max(by_rank) + 1)]
 
 
+@lru_cache(maxsize=2)
+def token_column(path: str) -> pa.Array:
+    return pa.array(token_bytes(path), pa.large_binary())
+
+
+def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The texts that lists of ids stand for: one look-up for all ids of a batch; an id that the vocabulary has not is an error."""
+    flat = ids.flatten()
+    if flat.null_count:
+        raise ValueError("an id is missing")
+    found = tokens.take(flat)
+    ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)]), dtype=np.int64)
+    places = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)])[ends].tolist()
+    data = memoryview(found.buffers()[2] or b"")
+    return pa.array([str(data[a:b], "utf-8", "replace") if known else None for a, b, known in zip(places, places[1:], ids.is_valid().to_pylist())], pa.string())
+
+
 def encode(df: DataFrame, text: str = "text", name: str = DEFAULT, folder: str = TOKENIZERS, to: str = "ids") -> DataFrame:
     """``df`` with its ``text`` column replaced by ``to``, an array of ids (int). Narrow: one pass in Arrow batches, no shuffle."""
     path = vocabulary_path(name, folder)
@@ -172,9 +190,8 @@ def decode(df: DataFrame, ids: str = "ids", name: str = DEFAULT, folder: str = T
     schema = source.drop("__ids").schema.add(to, T.StringType())
 
     def run(batches):
-        tokens = token_bytes(path)
+        tokens = token_column(path)
         for batch in batches:
-            texts = [None if x is None else b"".join(map(tokens.__getitem__, x)).decode(errors="replace") for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, to])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], decoded(batch.column(batch.num_columns - 1), tokens)], names=[*keep, to])
 
     return source.mapInArrow(run, schema)
